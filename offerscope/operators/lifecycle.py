@@ -42,16 +42,30 @@ LIFECYCLE_EVENTS = [fixed.OFFER_RECEIVED, fixed.OFFER_VIEWED, fixed.OFFER_COMPLE
 
 def event_keys(events: DataFrame) -> DataFrame:
     """Distinct (person, offer_id, time) with is_received / is_viewed /
-    is_completed flags and the number of receipt / completion rows at that key."""
+    is_completed flags, the number of distinct receipt and completion rows at
+    that key and the number of distinct completion rewards (NULL counting as
+    one).
+
+    Every output is insensitive to exact repeats in ``events`` (flags are
+    ORs, counts are sizes of per-key sets of (amount, reward)), so the frame
+    can be built from the raw log without a de-duplication shuffle; the sets
+    hold at most the distinct payloads seen at one key and hour.
+    """
     ev = F.col("event")
+    payload = F.struct("amount", "reward")
+    completions = F.collect_set(F.when(ev == fixed.OFFER_COMPLETED, payload))
     return (events
             .filter(F.col("offer_id").isNotNull() & ev.isin(*LIFECYCLE_EVENTS))
             .groupBy("person", "offer_id", "time")
             .agg(F.bool_or(ev == fixed.OFFER_RECEIVED).alias("is_received"),
                  F.bool_or(ev == fixed.OFFER_VIEWED).alias("is_viewed"),
                  F.bool_or(ev == fixed.OFFER_COMPLETED).alias("is_completed"),
-                 F.count_if(ev == fixed.OFFER_RECEIVED).alias("n_received_rows"),
-                 F.count_if(ev == fixed.OFFER_COMPLETED).alias("n_completed_rows")))
+                 F.size(F.collect_set(F.when(ev == fixed.OFFER_RECEIVED, payload))).alias("n_received_rows"),
+                 completions.alias("_completions"))
+            .withColumn("n_completed_rows", F.size("_completions"))
+            .withColumn("n_completed_rewards",
+                        F.size(F.array_distinct(F.transform("_completions", lambda x: x["reward"]))))
+            .drop("_completions"))
 
 
 def lifecycle(events: DataFrame) -> DataFrame:

@@ -59,28 +59,39 @@ def offers_table(portfolio: DataFrame, channels: Sequence[str] = ("web", "email"
 # --------------------------------------------------------------------------
 
 def parse_value(value: Column) -> Column:
-    """The ``value`` dict as a struct: accepts JSON text, single-quoted dict text
-    or an already-parsed struct."""
+    """The ``value`` dict text as a struct (JSON or single-quoted dict text)."""
     return F.from_json(value, schemas.EVENT_VALUE, {"allowSingleQuotes": "true"})
 
 
+_VALUE_KEYS = ["offer id", "offer_id", "amount", "reward"]
+
+
 def flatten_events(transcript: DataFrame, keep_value: bool = False) -> DataFrame:
     """person, event, time, offer_id, amount, reward from the raw log.
 
+    ``value`` may be a struct (JSON-lines reader) or dict text (table form,
+    possibly single-quoted).  Text is parsed once per row with
+    ``json_tuple``: being a generator, its outputs are not substituted back
+    into pushed-down filters, so a filter on ``offer_id`` never re-parses.
     The offer id is the first non-empty of the two spellings ``offer_id`` and
     ``offer id``; parsing by key keeps ids that contain ``_`` or spaces intact.
+    Numbers that do not parse become NULL (``try_cast``).
     """
     dtype = dict(transcript.dtypes)["value"]
-    v = F.col("value") if dtype.startswith("struct") else parse_value(F.col("value"))
-    parsed = transcript.withColumn("_v", v)
-    offer_id = F.coalesce(F.nullif(F.col("_v.offer_id"), F.lit("")), F.col("_v.`offer id`"))
-    cols = [F.col("person").cast("string").alias("person"), F.col("event").cast("string").alias("event"),
-            F.col("time").cast("int").alias("time"), offer_id.alias("offer_id"),
-            F.col("_v.amount").cast("double").alias("amount"),
-            F.col("_v.reward").cast("double").alias("reward")]
+    base = [F.col("person").cast("string").alias("person"), F.col("event").cast("string").alias("event"),
+            F.col("time").cast("int").alias("time")]
+    if dtype.startswith("struct"):
+        parsed = transcript.select(*base, F.col("value.`offer id`").alias("_k0"), F.col("value.offer_id").alias("_k1"),
+                                   F.col("value.amount").alias("_k2"), F.col("value.reward").alias("_k3"),
+                                   F.to_json("value").alias("value"))
+    else:
+        parsed = transcript.select(*base, F.col("value").cast("string").alias("value"),
+                                   F.json_tuple(F.col("value"), *_VALUE_KEYS).alias("_k0", "_k1", "_k2", "_k3"))
+    offer_id = F.coalesce(F.nullif(F.col("_k1"), F.lit("")), F.col("_k0"))
+    cols = ["person", "event", "time", offer_id.alias("offer_id"),
+            F.col("_k2").try_cast("double").alias("amount"), F.col("_k3").try_cast("double").alias("reward")]
     if keep_value:
-        text = F.col("value") if not dtype.startswith("struct") else F.to_json("value")
-        cols.insert(2, text.alias("value"))
+        cols.insert(2, "value")
     return parsed.select(*cols)
 
 

@@ -3,21 +3,24 @@
 ``SUM(t.amount) … JOIN transactions t ON t.person = x.person AND t.time
 BETWEEN x.start AND x.end`` pairs every interval of a person with every
 transaction of that person; with one heavy person that is a quadratic task.
-Here the same sums come from prefix sums:
+Here the same sums come from running totals:
 
 1. transactions are pre-aggregated to one row per (person, time) (map-side
    partial aggregate, so a heavy person is collapsed before the shuffle);
-2. the interval bounds become query points ``(person, start, 'before')`` and
-   ``(person, end, 'through')``, de-duplicated;
+2. every interval row is exploded into two query points,
+   ``(start, 'before')`` and ``(end, 'through')``;
 3. points and queries are unioned and one window per person, ordered by
    (time, kind), keeps a running sum: a 'before' query sorts ahead of a
    transaction at the same hour (strict ``<``), a 'through' query after it
    (inclusive ``<=``);
-4. spend = through(end) - before(start), the count likewise.
+4. one aggregate per interval brings its two running sums back together:
+   spend = through(end) − before(start), likewise the count.
 
-Money is summed as DECIMAL at ``money_scale`` digits, so totals are exact and
-independent of partitioning and summation order; ``spend`` is NULL when no
-transaction falls inside the interval (SQL ``SUM`` over no rows).
+The interval frame is consumed exactly once (no self-join, no re-computation
+of its lineage).  Money is summed as DECIMAL at ``money_scale`` digits, so
+totals are exact and independent of partitioning and summation order;
+``spend`` is NULL when no transaction falls inside the interval (SQL ``SUM``
+over no rows).
 """
 
 from __future__ import annotations
@@ -35,38 +38,31 @@ def money(col, money_scale: int = 2):
 def window_spend(intervals: DataFrame, txns: DataFrame, start: str, end: str,
                  person: str = "person", money_scale: int = 2) -> DataFrame:
     """``intervals`` plus ``spend`` (decimal, NULL if no transaction) and
-    ``n_txn`` for transactions of the same person with start <= time <= end."""
+    ``n_txn`` for transactions of the same person with start <= time <= end.
+
+    Rows of ``intervals`` must be distinct (they are grouped back by all
+    their columns)."""
+    cols = intervals.columns
     points = (txns.filter(F.col("amount").isNotNull())
               .groupBy(F.col(person).alias("_p"), F.col("time").cast("double").alias("_t"))
               .agg(F.sum(money(F.col("amount"), money_scale)).alias("_amt"), F.count(F.lit(1)).alias("_n"))
               .withColumn("_kind", F.lit(_TXN)))
-    starts = intervals.select(F.col(person).alias("_p"), F.col(start).cast("double").alias("_t")) \
-        .filter(F.col("_t").isNotNull()).distinct().withColumn("_kind", F.lit(_BEFORE))
-    ends = intervals.select(F.col(person).alias("_p"), F.col(end).cast("double").alias("_t")) \
-        .filter(F.col("_t").isNotNull()).distinct().withColumn("_kind", F.lit(_THROUGH))
-    queries = starts.unionByName(ends).withColumn("_amt", F.lit(None).cast(points.schema["_amt"].dataType)) \
-        .withColumn("_n", F.lit(None).cast("long"))
+    bounds = F.array(F.struct(F.lit(_BEFORE).alias("k"), F.col(start).cast("double").alias("t")),
+                     F.struct(F.lit(_THROUGH).alias("k"), F.col(end).cast("double").alias("t")))
+    queries = (intervals.select(*cols, F.col(person).alias("_p"), F.explode(bounds).alias("_b"))
+               .select(*cols, "_p", F.col("_b.t").alias("_t"), F.col("_b.k").alias("_kind")))
     running = Window.partitionBy("_p").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    lookup = (points.unionByName(queries)
-              .select("_p", "_t", "_kind",
-                      F.coalesce(F.sum("_amt").over(running), F.lit(0)).alias("_cum_amt"),
-                      F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_cum_n"))
-              .filter(F.col("_kind") != _TXN))
-    lo = lookup.filter(F.col("_kind") == _BEFORE).select(
-        F.col("_p").alias("_lp"), F.col("_t").alias("_lt"), F.col("_cum_amt").alias("_lo_amt"),
-        F.col("_cum_n").alias("_lo_n"))
-    hi = lookup.filter(F.col("_kind") == _THROUGH).select(
-        F.col("_p").alias("_hp"), F.col("_t").alias("_ht"), F.col("_cum_amt").alias("_hi_amt"),
-        F.col("_cum_n").alias("_hi_n"))
-    joined = (intervals
-              .join(lo, (F.col(person) == F.col("_lp")) & (F.col(start).cast("double") == F.col("_lt")), "left")
-              .join(hi, (F.col(person) == F.col("_hp")) & (F.col(end).cast("double") == F.col("_ht")), "left"))
-    n = F.coalesce(F.col("_hi_n"), F.lit(0)) - F.coalesce(F.col("_lo_n"), F.lit(0))
-    # An empty interval (end < start) matches nothing, as BETWEEN would.
+    swept = (queries.unionByName(points, allowMissingColumns=True)
+             .withColumn("_cum_amt", F.coalesce(F.sum("_amt").over(running), F.lit(0).cast(points.schema["_amt"].dataType)))
+             .withColumn("_cum_n", F.coalesce(F.sum("_n").over(running), F.lit(0)))
+             .filter(F.col("_kind") != _TXN))
+    is_lo, is_hi = F.col("_kind") == _BEFORE, F.col("_kind") == _THROUGH
+    paired = swept.groupBy(*cols).agg(
+        F.max(F.when(is_lo, F.col("_cum_amt"))).alias("_lo_amt"), F.max(F.when(is_lo, F.col("_cum_n"))).alias("_lo_n"),
+        F.max(F.when(is_hi, F.col("_cum_amt"))).alias("_hi_amt"), F.max(F.when(is_hi, F.col("_cum_n"))).alias("_hi_n"))
     lo_t, hi_t = F.col(start).cast("double"), F.col(end).cast("double")
-    n = F.when(lo_t.isNull() | hi_t.isNull() | (hi_t < lo_t), F.lit(0)).otherwise(n)
-    amount = F.col("_hi_amt") - F.col("_lo_amt")
-    return (joined
-            .withColumn("n_txn", n)
-            .withColumn("spend", F.when(F.col("n_txn") > 0, amount))
-            .drop("_lp", "_lt", "_lo_amt", "_lo_n", "_hp", "_ht", "_hi_amt", "_hi_n"))
+    # An empty or unbounded interval matches nothing, as BETWEEN would.
+    n = F.when(lo_t.isNull() | hi_t.isNull() | (hi_t < lo_t), F.lit(0)).otherwise(F.col("_hi_n") - F.col("_lo_n"))
+    return (paired.withColumn("n_txn", n)
+            .withColumn("spend", F.when(F.col("n_txn") > 0, F.col("_hi_amt") - F.col("_lo_amt")))
+            .drop("_lo_amt", "_lo_n", "_hi_amt", "_hi_n"))

@@ -63,7 +63,9 @@ class Tables:
 
     @cached_property
     def lifecycle(self) -> DataFrame:
-        return lc.lifecycle(self.events)
+        """As-of frame; built from the raw flattened log because it is
+        insensitive to exact repeats (saves the de-duplication shuffle)."""
+        return lc.lifecycle(self.flat)
 
     # ---- profiles ------------------------------------------------------
     @cached_property

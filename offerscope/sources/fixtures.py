@@ -64,9 +64,19 @@ def portfolio_from(spark: SparkSession, events: DataFrame) -> DataFrame:
     A left-semi join of a ten-row relation: the result can never exceed the
     catalogue, which is what lets downstream joins broadcast it.
     """
-    catalogue = spark.createDataFrame(OFFER_CATALOGUE, schemas.PORTFOLIO)
-    referenced = events.select(F.concat(F.lit("offer_"), (_k() % 10).cast("string")).alias("id"))
-    return catalogue.join(referenced, "id", "left_semi")
+    referenced = events.select(F.concat(F.lit("offer_"), (_k() % 10).cast("string")).alias("id")).distinct()
+    return catalogue(spark).join(referenced, "id", "left_semi")
+
+
+def catalogue(spark: SparkSession) -> DataFrame:
+    """The fixed catalogue as a JVM-side local relation (no Python RDD), so
+    Catalyst knows its size and broadcasts it in joins."""
+    rows = [F.struct(F.lit(i).alias("id"), F.lit(r).cast("int").alias("reward"),
+                     F.lit(d).cast("int").alias("difficulty"), F.lit(float(dur)).alias("duration"),
+                     F.lit(t).alias("offer_type"), F.array(*[F.lit(c) for c in ch]).alias("channels"))
+            for i, r, d, dur, t, ch in OFFER_CATALOGUE]
+    return spark.range(1).select(F.inline(F.array(*rows))).select(
+        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.PORTFOLIO.fields])
 
 
 def profile_from(customer: DataFrame) -> DataFrame:
