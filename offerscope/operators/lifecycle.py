@@ -82,13 +82,16 @@ def lifecycle(events: DataFrame) -> DataFrame:
     def at(flag: str):
         return F.when(F.col(flag), t)
 
-    return (keys
-            .withColumn("last_received", F.max(at("is_received")).over(upto))
-            .withColumn("prev_received", F.max(at("is_received")).over(before))
-            .withColumn("last_viewed", F.max(at("is_viewed")).over(upto))
-            .withColumn("next_received", F.min(at("is_received")).over(after))
-            .withColumn("next_viewed", F.min(at("is_viewed")).over(from_here))
-            .withColumn("next_completed", F.min(at("is_completed")).over(from_here)))
+    # One select, so Catalyst builds one Window operator per sort order
+    # (frames may differ inside one operator) instead of one per column.
+    return keys.select(
+        *keys.columns,
+        F.max(at("is_received")).over(upto).alias("last_received"),
+        F.max(at("is_received")).over(before).alias("prev_received"),
+        F.max(at("is_viewed")).over(upto).alias("last_viewed"),
+        F.min(at("is_received")).over(after).alias("next_received"),
+        F.min(at("is_viewed")).over(from_here).alias("next_viewed"),
+        F.min(at("is_completed")).over(from_here).alias("next_completed"))
 
 
 def with_offer_terms(frame: DataFrame, offers: DataFrame, receipt_col: str = "last_received",
