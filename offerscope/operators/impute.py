@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import draw, fixed
+from . import profiling
 
 
 def replace_with_scalar(df: DataFrame, col: str, stat: Column, where: Column) -> DataFrame:
@@ -43,8 +44,7 @@ def impute_by_group_median(df: DataFrame, col: str, by: Sequence[str],
     keyed = df
     for name, expr in group_exprs.items():
         keyed = keyed.withColumn(name, expr)
-    medians = (keyed.filter(F.col(col).isNotNull()).groupBy(*by)
-               .agg(F.percentile(F.col(col).cast("double"), F.lit(0.5)).alias("_median")))
+    medians = profiling.median(keyed, col, "_median", by=list(by))
     # Null-safe keys: a NULL gender or band is a group of its own in the medians
     # but never matches in an equi-join, exactly like ``c.g = m.g``.
     joined = keyed.join(F.broadcast(medians), list(by), "left")

@@ -70,7 +70,11 @@ def event_keys(events: DataFrame) -> DataFrame:
 
 def lifecycle(events: DataFrame) -> DataFrame:
     """The as-of frame described in the module docstring."""
-    keys = event_keys(events)
+    return lifecycle_from_keys(event_keys(events))
+
+
+def lifecycle_from_keys(keys: DataFrame) -> DataFrame:
+    """The as-of windows over an ``event_keys`` frame (possibly edited)."""
     t = F.col("time")
     asc = Window.partitionBy(*KEYS).orderBy(t.asc())
     desc = Window.partitionBy(*KEYS).orderBy(t.desc())
@@ -105,3 +109,25 @@ def with_offer_terms(frame: DataFrame, offers: DataFrame, receipt_col: str = "la
                           F.col("reward").alias("offer_reward"))
     out = frame.join(terms, "offer_id", how)
     return out.withColumn("expiry_time", F.col(receipt_col) + F.col("duration") * F.lit(fixed.HOURS_PER_DAY))
+
+
+def clear_events(keys: DataFrame, hits: DataFrame, event: str) -> DataFrame:
+    """Remove every ``event`` row at the (person, offer_id, time) keys in
+    ``hits`` from an ``event_keys`` frame: the key-level equivalent of
+    deleting those rows from the log.  Keys left with no event disappear."""
+    hit = F.col("_hit").isNotNull()
+    marked = keys.join(hits.select("person", "offer_id", "time", F.lit(True).alias("_hit")),
+                       ["person", "offer_id", "time"], "left")
+    if event == fixed.OFFER_RECEIVED:
+        marked = (marked.withColumn("is_received", F.col("is_received") & ~hit)
+                  .withColumn("n_received_rows", F.when(hit, F.lit(0)).otherwise(F.col("n_received_rows"))))
+    elif event == fixed.OFFER_COMPLETED:
+        marked = (marked.withColumn("is_completed", F.col("is_completed") & ~hit)
+                  .withColumn("n_completed_rows", F.when(hit, F.lit(0)).otherwise(F.col("n_completed_rows")))
+                  .withColumn("n_completed_rewards", F.when(hit, F.lit(0)).otherwise(F.col("n_completed_rewards"))))
+    elif event == fixed.OFFER_VIEWED:
+        marked = marked.withColumn("is_viewed", F.col("is_viewed") & ~hit)
+    else:
+        raise ValueError(f"not a lifecycle event: {event}")
+    return (marked.filter(F.col("is_received") | F.col("is_viewed") | F.col("is_completed"))
+            .select(*keys.columns))

@@ -18,22 +18,26 @@ from ..functions import bands, fixed
 FIVE_NUMBER = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 
-def _percentiles(col: str, probs: Sequence[float], approx: bool, accuracy: int = 100000) -> Column:
-    c = F.col(col).cast("double")
-    if approx:
-        return F.percentile_approx(c, list(probs), accuracy)
-    return F.percentile(c, F.array(*[F.lit(float(p)) for p in probs]))
-
-
 def quantiles(df: DataFrame, col: str, probs: Sequence[float], names: Sequence[str],
-              by: Sequence[str] = (), approx: bool = False) -> DataFrame:
+              by: Sequence[str] = (), approx: bool = False, accuracy: int = 100000) -> DataFrame:
     """Continuous-interpolation percentiles (``PERCENTILE_CONT``) as columns.
 
     Written as a (grouped) aggregate, not as a window over all rows: a
     window with an empty PARTITION BY would move every row to one task.
+    Exact mode first counts each distinct value (a distributed aggregate with
+    a map-side combine), then runs ``percentile`` with those counts as
+    frequencies: the final merge sees every distinct value once, instead of
+    one value map per input task.
     """
-    arr = _percentiles(col, probs, approx).alias("_q")
-    agg = df.groupBy(*by).agg(arr) if by else df.agg(arr)
+    probs_arr = F.array(*[F.lit(float(p)) for p in probs])
+    if approx:
+        agg_expr = F.percentile_approx(F.col(col).cast("double"), list(probs), accuracy).alias("_q")
+        source = df
+    else:
+        source = (df.filter(F.col(col).isNotNull())
+                  .groupBy(*by, F.col(col).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_f")))
+        agg_expr = F.percentile(F.col("_v"), probs_arr, F.col("_f")).alias("_q")
+    agg = source.groupBy(*by).agg(agg_expr) if by else source.agg(agg_expr)
     return agg.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
 
 

@@ -35,25 +35,35 @@ def money(col, money_scale: int = 2):
     return col.cast(f"decimal(20,{money_scale})")
 
 
-def window_spend(intervals: DataFrame, txns: DataFrame, start: str, end: str,
-                 person: str = "person", money_scale: int = 2) -> DataFrame:
+def txn_points(txns: DataFrame, person: str = "person", money_scale: int = 2) -> DataFrame:
+    """Transactions pre-aggregated to one row per (person, hour): the running
+    sums only ever need these totals.  Reusable across several spend rules."""
+    return (txns.filter(F.col("amount").isNotNull())
+            .groupBy(F.col(person).alias("_p"), F.col("time").cast("double").alias("_t"))
+            .agg(F.sum(money(F.col("amount"), money_scale)).alias("_amt"), F.count(F.lit(1)).alias("_n"))
+            .withColumn("_kind", F.lit(_TXN)))
+
+
+def window_spend(intervals: DataFrame, txns: DataFrame | None, start: str, end: str,
+                 person: str = "person", money_scale: int = 2,
+                 points: DataFrame | None = None) -> DataFrame:
     """``intervals`` plus ``spend`` (decimal, NULL if no transaction) and
     ``n_txn`` for transactions of the same person with start <= time <= end.
 
-    Rows of ``intervals`` must be distinct (they are grouped back by all
-    their columns)."""
+    Pass ``points`` (from ``txn_points``) to reuse one pre-aggregation for
+    several interval sets.  Rows of ``intervals`` must be distinct (they are
+    grouped back by all their columns)."""
     cols = intervals.columns
-    points = (txns.filter(F.col("amount").isNotNull())
-              .groupBy(F.col(person).alias("_p"), F.col("time").cast("double").alias("_t"))
-              .agg(F.sum(money(F.col("amount"), money_scale)).alias("_amt"), F.count(F.lit(1)).alias("_n"))
-              .withColumn("_kind", F.lit(_TXN)))
+    if points is None:
+        points = txn_points(txns, person, money_scale)
     bounds = F.array(F.struct(F.lit(_BEFORE).alias("k"), F.col(start).cast("double").alias("t")),
                      F.struct(F.lit(_THROUGH).alias("k"), F.col(end).cast("double").alias("t")))
     queries = (intervals.select(*cols, F.col(person).alias("_p"), F.explode(bounds).alias("_b"))
                .select(*cols, "_p", F.col("_b.t").alias("_t"), F.col("_b.k").alias("_kind")))
     running = Window.partitionBy("_p").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    zero = F.lit(0).cast(points.schema["_amt"].dataType)
     swept = (queries.unionByName(points, allowMissingColumns=True)
-             .withColumn("_cum_amt", F.coalesce(F.sum("_amt").over(running), F.lit(0).cast(points.schema["_amt"].dataType)))
+             .withColumn("_cum_amt", F.coalesce(F.sum("_amt").over(running), zero))
              .withColumn("_cum_n", F.coalesce(F.sum("_n").over(running), F.lit(0)))
              .filter(F.col("_kind") != _TXN))
     is_lo, is_hi = F.col("_kind") == _BEFORE, F.col("_kind") == _THROUGH

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import bands, fixed
 from ..operators import impute, prepare
 from ..operators import lifecycle as lc
+from ..operators.spend import txn_points
 from . import quality
 
 
@@ -45,7 +46,8 @@ def clean_profile(profile: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- events
 
-def superseded_receipts(events: DataFrame, offers: DataFrame, frame: DataFrame | None = None) -> DataFrame:
+def superseded_receipts(events: DataFrame, offers: DataFrame, frame: DataFrame | None = None,
+                        points: DataFrame | None = None) -> DataFrame:
     """Receipts whose *next* receipt of the same offer arrives strictly before
     they ended (first completion inside the window, else expiry)."""
     frame = frame if frame is not None else lc.lifecycle(events)
@@ -55,57 +57,80 @@ def superseded_receipts(events: DataFrame, offers: DataFrame, frame: DataFrame |
             .select("person", "offer_id", F.col("received_time").alias("first_received")))
 
 
-def underspend_window_flagged(events: DataFrame, offers: DataFrame, frame: DataFrame | None = None) -> DataFrame:
+def underspend_window_flagged(events: DataFrame, offers: DataFrame, frame: DataFrame | None = None,
+                              points: DataFrame | None = None) -> DataFrame:
     """Completions inside their latest receipt's window whose spend over the
     whole window is below difficulty (no spend → NULL → not flagged)."""
-    out = quality.underspend(events, offers, until="expiry", require_in_window=True, frame=frame)
+    out = quality.underspend(events, offers, until="expiry", require_in_window=True, frame=frame, points=points)
     return out.select("person", "offer_id", "completed_time", "received_time", "expiry_time", "difficulty",
                       F.col("total_spent").alias("total_spend"))
 
 
-def underspend_completion_flagged(events: DataFrame, offers: DataFrame, frame: DataFrame | None = None) -> DataFrame:
+def underspend_completion_flagged(events: DataFrame, offers: DataFrame, frame: DataFrame | None = None,
+                                  points: DataFrame | None = None) -> DataFrame:
     """Spend from latest receipt to completion, rounded to 0 decimals."""
-    return quality.underspend_rownum(events, offers, frame=frame)
+    return quality.underspend_rownum(events, offers, frame=frame, points=points)
 
 
-def underspend_lateral_flagged(events: DataFrame, offers: DataFrame, frame: DataFrame | None = None) -> DataFrame:
+def underspend_lateral_flagged(events: DataFrame, offers: DataFrame, frame: DataFrame | None = None,
+                               points: DataFrame | None = None) -> DataFrame:
     """Per completion event, latest receipt at or before it; spend to
     completion with no spend counted as 0."""
     out = quality.underspend(events, offers, until="completion", multiplicity="rows",
-                             missing_spend_as_zero=True, frame=frame)
+                             missing_spend_as_zero=True, frame=frame, points=points)
     return out.select("person", "offer_id", "received_time", "completed_time", "difficulty", "total_spent")
 
 
-def _drop(events: DataFrame, flagged: DataFrame, event: str, time_col: str) -> DataFrame:
-    """Delete the ``event`` rows at the flagged (person, offer_id, time) keys.
-    A left-anti join on the key plus the event name leaves other event types
-    at the same key untouched."""
-    keys = flagged.select("person", "offer_id", F.col(time_col).alias("time")).distinct() \
-        .withColumn("event", F.lit(event))
-    return events.join(keys, ["person", "offer_id", "time", "event"], "left_anti").select(*events.columns)
-
-
-def _materialize(df: DataFrame, materialize: bool) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint into spark.checkpoint.dir
-    (shared storage), so a lost executor does not replay the whole chain."""
+def _materialize(df: DataFrame, materialize: bool, name: str) -> DataFrame:
+    """Cut the lineage by writing the frame to the shared checkpoint folder
+    (``spark.checkpoint.dir``), so a lost executor does not replay the chain."""
     if not materialize:
         return df
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def clean_events(events: DataFrame, offers: DataFrame, materialize: bool = False,
-                 steps: int = 4) -> DataFrame:
+    from ..session import materialize as write_and_read
+    return write_and_read(df, name)
+
+
+RULES = [
+    (superseded_receipts, fixed.OFFER_RECEIVED, "first_received"),
+    (underspend_window_flagged, fixed.OFFER_COMPLETED, "completed_time"),
+    (underspend_completion_flagged, fixed.OFFER_COMPLETED, "completed_time"),
+    (underspend_lateral_flagged, fixed.OFFER_COMPLETED, "completed_time"),
+]
+
+
+def flagged_keys(events: DataFrame, offers: DataFrame, materialize: bool = True,
+                 steps: int = len(RULES)) -> DataFrame:
+    """(person, offer_id, time, event) of every row the ordered rules delete.
+
+    The rules only ever delete receipts or completions at whole keys, and
+    every rule reads the log only through the lifecycle key frame and the
+    transactions, which no rule touches.  So the chain runs on compact data:
+    the key frame and the per-(person, hour) transaction totals are built
+    once; each step evaluates its rule on the current keys, records the hit
+    keys and clears them from the key frame before the next rule.  Each of
+    these small frames is written to the checkpoint folder, which keeps every
+    step's lineage one level deep.  The raw log is read once for the keys,
+    once for the transactions and once for the final anti-join.
+    """
+    keys = _materialize(lc.event_keys(events), materialize, "lifecycle-keys")
+    points = _materialize(txn_points(prepare.transactions(events)), materialize, "txn-points")
+    removed = None
+    for i, (rule, event, time_col) in enumerate(RULES[:steps]):
+        hits = rule(events, offers, frame=lc.lifecycle_from_keys(keys), points=points) \
+            .select("person", "offer_id", F.col(time_col).alias("time")).distinct()
+        hits = _materialize(hits, materialize, f"hits-{i}")
+        keys = _materialize(lc.clear_events(keys, hits, event), materialize, f"lifecycle-keys-{i}")
+        tagged = hits.withColumn("event", F.lit(event))
+        removed = tagged if removed is None else removed.unionByName(tagged)
+    if removed is None:
+        return events.sparkSession.createDataFrame([], "person string, offer_id string, time int, event string")
+    return removed
+
+
+def clean_events(events: DataFrame, offers: DataFrame, materialize: bool = True,
+                 steps: int = len(RULES)) -> DataFrame:
     """Ordered deletes: superseded receipts, then the three under-spend rules,
-    each evaluated on the previous step's result."""
-    ev = _materialize(events, materialize)
-    rules = [
-        (superseded_receipts, fixed.OFFER_RECEIVED, "first_received"),
-        (underspend_window_flagged, fixed.OFFER_COMPLETED, "completed_time"),
-        (underspend_completion_flagged, fixed.OFFER_COMPLETED, "completed_time"),
-        (underspend_lateral_flagged, fixed.OFFER_COMPLETED, "completed_time"),
-    ]
-    for rule, event, time_col in rules[:steps]:
-        ev = _materialize(_drop(ev, rule(ev, offers), event, time_col), materialize)
-    return ev
+    each evaluated on the previous step's result.  Returns the surviving log
+    (a left-anti join of the log with the deleted keys)."""
+    removed = flagged_keys(events, offers, materialize, steps)
+    return events.join(removed, ["person", "offer_id", "time", "event"], "left_anti").select(*events.columns)

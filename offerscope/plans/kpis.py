@@ -48,7 +48,7 @@ def repeat_rate(txns: DataFrame) -> DataFrame:
 def persons_without(events: DataFrame, have: str, lack: str) -> DataFrame:
     """Distinct persons with a ``have`` event and no ``lack`` event at all."""
     a = events.filter(F.col("event") == have).select("person").distinct()
-    b = events.filter(F.col("event") == lack).select("person")
+    b = events.filter(F.col("event") == lack).select("person").distinct()
     return a.join(b, "person", "left_anti")
 
 

@@ -127,7 +127,7 @@ def completed_unviewed(events: DataFrame, frame: DataFrame | None = None) -> Dat
 def underspend(events: DataFrame, offers: DataFrame, *, until: str = "completion",
                require_in_window: bool = False, multiplicity: str | None = None,
                missing_spend_as_zero: bool = False, spend_scale: int | None = None,
-               frame: DataFrame | None = None) -> DataFrame:
+               frame: DataFrame | None = None, points: DataFrame | None = None) -> DataFrame:
     """Completions whose spend since the latest receipt is below difficulty.
 
     ``until``: ``'completion'`` sums transactions in [receipt, completion],
@@ -152,7 +152,8 @@ def underspend(events: DataFrame, offers: DataFrame, *, until: str = "completion
     else:
         comp = comp.withColumn("_m", F.lit(1))
     end = "completed_time" if until == "completion" else "expiry_time"
-    spent = window_spend(comp, prepare.transactions(events), "received_time", end)
+    txns = prepare.transactions(events) if points is None else None
+    spent = window_spend(comp, txns, "received_time", end, points=points)
     total = (F.col("spend") * F.col("_m")).cast("double")
     if missing_spend_as_zero:
         total = F.coalesce(total, F.lit(0.0))
@@ -167,9 +168,10 @@ def underspend_max(events: DataFrame, offers: DataFrame, frame: DataFrame | None
         .select("person", "offer_id", "received_time", "completed_time", "difficulty", "total_spent")
 
 
-def underspend_rownum(events: DataFrame, offers: DataFrame, frame: DataFrame | None = None) -> DataFrame:
+def underspend_rownum(events: DataFrame, offers: DataFrame, frame: DataFrame | None = None,
+                      points: DataFrame | None = None) -> DataFrame:
     """Same rule with one latest receipt per completion key, rounded to 0 decimals."""
-    return underspend(events, offers, until="completion", spend_scale=0, frame=frame) \
+    return underspend(events, offers, until="completion", spend_scale=0, frame=frame, points=points) \
         .select("person", "offer_id", "received_time", "completed_time", "difficulty", "total_spent")
 
 
