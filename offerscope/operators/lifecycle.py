@@ -112,22 +112,26 @@ def with_offer_terms(frame: DataFrame, offers: DataFrame, receipt_col: str = "la
 
 
 def clear_events(keys: DataFrame, hits: DataFrame, event: str) -> DataFrame:
-    """Remove every ``event`` row at the (person, offer_id, time) keys in
+    """Delete every ``event`` row at the (person, offer_id, time) keys in
     ``hits`` from an ``event_keys`` frame: the key-level equivalent of
-    deleting those rows from the log.  Keys left with no event disappear."""
+    deleting those rows from the log.  The key stays, with its flag cleared
+    and ``deleted_received`` / ``deleted_completed`` set, so the frame also
+    remembers what was deleted (cleared flags never reach the windows)."""
     hit = F.col("_hit").isNotNull()
-    marked = keys.join(hits.select("person", "offer_id", "time", F.lit(True).alias("_hit")),
+    for c in ("deleted_received", "deleted_completed"):
+        if c not in keys.columns:
+            keys = keys.withColumn(c, F.lit(False))
+    marked = keys.join(hits.select("person", "offer_id", "time", F.lit(True).alias("_hit")).distinct(),
                        ["person", "offer_id", "time"], "left")
     if event == fixed.OFFER_RECEIVED:
-        marked = (marked.withColumn("is_received", F.col("is_received") & ~hit)
+        marked = (marked.withColumn("deleted_received", F.col("deleted_received") | (hit & F.col("is_received")))
+                  .withColumn("is_received", F.col("is_received") & ~hit)
                   .withColumn("n_received_rows", F.when(hit, F.lit(0)).otherwise(F.col("n_received_rows"))))
     elif event == fixed.OFFER_COMPLETED:
-        marked = (marked.withColumn("is_completed", F.col("is_completed") & ~hit)
+        marked = (marked.withColumn("deleted_completed", F.col("deleted_completed") | (hit & F.col("is_completed")))
+                  .withColumn("is_completed", F.col("is_completed") & ~hit)
                   .withColumn("n_completed_rows", F.when(hit, F.lit(0)).otherwise(F.col("n_completed_rows")))
                   .withColumn("n_completed_rewards", F.when(hit, F.lit(0)).otherwise(F.col("n_completed_rewards"))))
-    elif event == fixed.OFFER_VIEWED:
-        marked = marked.withColumn("is_viewed", F.col("is_viewed") & ~hit)
     else:
-        raise ValueError(f"not a lifecycle event: {event}")
-    return (marked.filter(F.col("is_received") | F.col("is_viewed") | F.col("is_completed"))
-            .select(*keys.columns))
+        raise ValueError(f"only receipts and completions are deleted by key, not {event}")
+    return marked.select(*keys.columns)

@@ -106,25 +106,24 @@ def flagged_keys(events: DataFrame, offers: DataFrame, materialize: bool = True,
     every rule reads the log only through the lifecycle key frame and the
     transactions, which no rule touches.  So the chain runs on compact data:
     the key frame and the per-(person, hour) transaction totals are built
-    once; each step evaluates its rule on the current keys, records the hit
-    keys and clears them from the key frame before the next rule.  Each of
-    these small frames is written to the checkpoint folder, which keeps every
-    step's lineage one level deep.  The raw log is read once for the keys,
-    once for the transactions and once for the final anti-join.
+    once; each step evaluates its rule on the current keys and clears (and
+    records) the hits in the key frame before the next rule.  Every step's
+    key frame is written to the checkpoint folder, which keeps each step's
+    lineage one level deep.  The raw log is read once for the keys, once for
+    the transactions and once for the final anti-join.
     """
     keys = _materialize(lc.event_keys(events), materialize, "lifecycle-keys")
     points = _materialize(txn_points(prepare.transactions(events)), materialize, "txn-points")
-    removed = None
     for i, (rule, event, time_col) in enumerate(RULES[:steps]):
         hits = rule(events, offers, frame=lc.lifecycle_from_keys(keys), points=points) \
-            .select("person", "offer_id", F.col(time_col).alias("time")).distinct()
-        hits = _materialize(hits, materialize, f"hits-{i}")
+            .select("person", "offer_id", F.col(time_col).alias("time"))
         keys = _materialize(lc.clear_events(keys, hits, event), materialize, f"lifecycle-keys-{i}")
-        tagged = hits.withColumn("event", F.lit(event))
-        removed = tagged if removed is None else removed.unionByName(tagged)
-    if removed is None:
-        return events.sparkSession.createDataFrame([], "person string, offer_id string, time int, event string")
-    return removed
+    cols = ["person", "offer_id", "time"]
+    if "deleted_received" not in keys.columns:
+        return keys.select(*cols, F.lit(None).cast("string").alias("event")).limit(0)
+    rec = keys.filter("deleted_received").select(*cols, F.lit(fixed.OFFER_RECEIVED).alias("event"))
+    comp = keys.filter("deleted_completed").select(*cols, F.lit(fixed.OFFER_COMPLETED).alias("event"))
+    return rec.unionByName(comp)
 
 
 def clean_events(events: DataFrame, offers: DataFrame, materialize: bool = True,
