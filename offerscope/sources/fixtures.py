@@ -127,6 +127,11 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> RawTables:
     """Lazily derive (portfolio, profile, transcript) from ``sf_dir``'s parquet."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return raw_tables_from(spark, events, customer)
+
+
+def raw_tables_from(spark: SparkSession, events: DataFrame, customer: DataFrame) -> RawTables:
+    """Same mapping over already loaded (or derived) events/customer frames."""
     return RawTables(portfolio=portfolio_from(spark, events),
                      profile=profile_from(customer),
                      transcript=transcript_from(events))
