@@ -36,9 +36,11 @@ def impute_by_group_median(df: DataFrame, col: str, by: Sequence[str],
                            group_exprs: dict[str, Column] | None = None) -> DataFrame:
     """Fill NULLs of ``col`` with the exact median of its group.
 
-    The medians are one grouped aggregate whose size is the number of groups
-    (here genders × age bands), so the join back is broadcast explicitly.  A
-    group with no known value leaves the NULL in place.
+    The medians are one grouped aggregate with one row per group.  The join
+    back is left to Catalyst/AQE: with AQE the medians stage finishes first
+    and its measured size decides a broadcast (the group domain comes from
+    the data, so it is not assumed small).  A group with no known value
+    leaves the NULL in place.
     """
     group_exprs = group_exprs or {}
     keyed = df
@@ -47,6 +49,6 @@ def impute_by_group_median(df: DataFrame, col: str, by: Sequence[str],
     medians = profiling.median(keyed, col, "_median", by=list(by))
     # Null-safe keys: a NULL gender or band is a group of its own in the medians
     # but never matches in an equi-join, exactly like ``c.g = m.g``.
-    joined = keyed.join(F.broadcast(medians), list(by), "left")
+    joined = keyed.join(medians, list(by), "left")
     out = joined.withColumn(col, F.coalesce(F.col(col), F.col("_median").cast(dict(df.dtypes)[col])))
     return out.select(*df.columns)

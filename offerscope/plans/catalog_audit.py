@@ -65,11 +65,11 @@ def gender_counts(t: Tables):
 
 
 @analysis("aud_profile_nulls_ranges", f"""
-SELECT SUM(CASE WHEN gender IS NULL THEN 1 END) AS missing_gender,
-       SUM(CASE WHEN age IS NULL THEN 1 END) AS missing_age,
-       SUM(CASE WHEN id IS NULL THEN 1 END) AS missing_id,
-       SUM(CASE WHEN became_member_on IS NULL THEN 1 END) AS missing_date,
-       SUM(CASE WHEN income IS NULL THEN 1 END) AS missing_income,
+SELECT CAST(SUM(CASE WHEN gender IS NULL THEN 1 END) AS BIGINT) AS missing_gender,
+       CAST(SUM(CASE WHEN age IS NULL THEN 1 END) AS BIGINT) AS missing_age,
+       CAST(SUM(CASE WHEN id IS NULL THEN 1 END) AS BIGINT) AS missing_id,
+       CAST(SUM(CASE WHEN became_member_on IS NULL THEN 1 END) AS BIGINT) AS missing_date,
+       CAST(SUM(CASE WHEN income IS NULL THEN 1 END) AS BIGINT) AS missing_income,
        MIN(age) AS min_age, MAX(age) AS max_age,
        {rupee_sql('MIN(income)')} AS min_income, {rupee_sql('MAX(income)')} AS max_income,
        MIN(became_member_on) AS min_joining_date, MAX(became_member_on) AS max_joining_date
@@ -117,12 +117,12 @@ def event_distincts(t: Tables):
 
 
 @analysis("aud_event_nulls_ranges", f"""
-SELECT SUM(CASE WHEN person IS NULL THEN 1 END) AS missing_person,
-       SUM(CASE WHEN event IS NULL THEN 1 END) AS missing_event,
-       SUM(CASE WHEN offer_id IS NULL THEN 1 END) AS missing_offer_id,
-       SUM(CASE WHEN time IS NULL THEN 1 END) AS missing_time,
-       SUM(CASE WHEN amount IS NULL THEN 1 END) AS missing_amount,
-       SUM(CASE WHEN reward IS NULL THEN 1 END) AS missing_reward,
+SELECT CAST(SUM(CASE WHEN person IS NULL THEN 1 END) AS BIGINT) AS missing_person,
+       CAST(SUM(CASE WHEN event IS NULL THEN 1 END) AS BIGINT) AS missing_event,
+       CAST(SUM(CASE WHEN offer_id IS NULL THEN 1 END) AS BIGINT) AS missing_offer_id,
+       CAST(SUM(CASE WHEN time IS NULL THEN 1 END) AS BIGINT) AS missing_time,
+       CAST(SUM(CASE WHEN amount IS NULL THEN 1 END) AS BIGINT) AS missing_amount,
+       CAST(SUM(CASE WHEN reward IS NULL THEN 1 END) AS BIGINT) AS missing_reward,
        MIN(time) AS min_time, MAX(time) AS max_time,
        {rupee_sql('MIN(amount)', 2)} AS min_amount, {rupee_sql('MAX(amount)', 2)} AS max_amount,
        {rupee_sql('MIN(reward)', 2)} AS min_reward, {rupee_sql('MAX(reward)', 2)} AS max_reward
@@ -156,10 +156,10 @@ def reward_frequency(t: Tables):
 
 
 @analysis("aud_schema", """
-SELECT 'person' AS column_name, 'string' AS data_type, MAX(length(person)) AS max_length FROM flat
-UNION ALL SELECT 'event', 'string', MAX(length(event)) FROM flat
+SELECT 'person' AS column_name, 'string' AS data_type, CAST(MAX(length(person)) AS INTEGER) AS max_length FROM flat
+UNION ALL SELECT 'event', 'string', CAST(MAX(length(event)) AS INTEGER) FROM flat
 UNION ALL SELECT 'time', 'int', MAX(CAST(NULL AS INTEGER)) FROM flat
-UNION ALL SELECT 'offer_id', 'string', MAX(length(offer_id)) FROM flat
+UNION ALL SELECT 'offer_id', 'string', CAST(MAX(length(offer_id)) AS INTEGER) FROM flat
 UNION ALL SELECT 'amount', 'double', MAX(CAST(NULL AS INTEGER)) FROM flat
 UNION ALL SELECT 'reward', 'double', MAX(CAST(NULL AS INTEGER)) FROM flat""")
 def schema_listing(t: Tables):
