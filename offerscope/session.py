@@ -48,8 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     setting is an error, because a machine-local folder would not survive the
     loss of an executor.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(configured)
@@ -59,9 +59,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder for cluster runs")
     scratch = tempfile.mkdtemp(prefix="offerscope-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", scratch)
     sc.setCheckpointDir(scratch)
-    return scratch
+    return sc.getCheckpointDir() or scratch
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
