@@ -28,6 +28,17 @@ class Tables:
         raw = fixtures.raw_tables(spark, sf_dir)
         return cls(raw.portfolio, raw.profile, raw.transcript)
 
+    def materialized(self, parts=("flat", "events", "profile_clean")) -> "Tables":
+        """A copy whose shared intermediates are computed once and written to
+        the checkpoint folder: every analysis run on the copy reads them back
+        instead of re-parsing and re-de-duplicating the log (and a lost
+        executor re-reads files instead of replaying the lineage)."""
+        from ..session import materialize
+        out = Tables(self.portfolio, self.profile, self.transcript)
+        for name in parts:
+            out.__dict__[name] = materialize(getattr(out, name), name.replace("_", "-"))
+        return out
+
     # ---- offers --------------------------------------------------------
     @cached_property
     def offers(self) -> DataFrame:

@@ -85,3 +85,16 @@ def test_tables_roundtrip(spark, tables):
     sinks.append_table(tables.offers, name)
     assert spark.table(name).count() == 2 * tables.offers.count()
     spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_report_writes_each_analysis(spark, tables):
+    from offerscope.report import run_report
+    from offerscope.plans import ANALYSES
+    out = tempfile.mkdtemp(prefix="offerscope-report-", dir="/tmp")
+    names = ["kpi_view_completion_rate", "dq_underspend_window", "cln_impute_income"]
+    timings = run_report(tables, out, names)
+    assert set(timings) == set(names)
+    for n in names:
+        got = sorted(map(repr, spark.read.parquet(f"{out}/{n}").collect()))
+        want = sorted(map(repr, ANALYSES[n](tables).collect()))
+        assert got == want
