@@ -106,7 +106,10 @@ def transcript_from(events: DataFrame) -> DataFrame:
              .when((etype == "view") & (uid % 20 != 18), F.lit(fixed.OFFER_VIEWED))
              .when((etype == "click") & (uid % 20 != 19), F.lit(fixed.OFFER_COMPLETED))
              .otherwise(F.lit(fixed.OFFER_RECEIVED)))
-    hours = F.timestamp_diff("HOUR", F.lit(EPOCH).cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
+    # Whole hours since the epoch, computed on the wall-clock value (no
+    # session time zone involved): days since the epoch date * 24 + hour.
+    ts = F.col("ts").cast("timestamp_ntz")
+    hours = F.datediff(F.to_date(ts), F.to_date(F.lit(EPOCH))) * 24 + F.hour(ts)
     time = (hours - hours % TIME_GRAIN_HOURS).cast("int")
     k = _k()
     offer_no = F.when(k >= ORPHAN_OFFER_MIN_K, k).otherwise(k % 10)

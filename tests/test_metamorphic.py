@@ -74,3 +74,15 @@ def test_shuffle_partitions_do_not_change_results(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert before == after
+
+
+def test_session_time_zone_does_not_change_the_log(spark):
+    from conftest import SF_SMALL
+    before = sorted(map(tuple, Tables.from_testdata(spark, SF_SMALL).transcript.collect()))
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        after = sorted(map(tuple, Tables.from_testdata(spark, SF_SMALL).transcript.collect()))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert before == after
