@@ -40,37 +40,39 @@ KEYS = ["person", "offer_id"]
 LIFECYCLE_EVENTS = [fixed.OFFER_RECEIVED, fixed.OFFER_VIEWED, fixed.OFFER_COMPLETED]
 
 
-def event_keys(events: DataFrame) -> DataFrame:
+def event_keys(events: DataFrame, deduplicated: bool = False) -> DataFrame:
     """Distinct (person, offer_id, time) with is_received / is_viewed /
-    is_completed flags, the number of distinct receipt and completion rows at
-    that key and the number of distinct completion rewards (NULL counting as
-    one).
-
-    Every output is insensitive to exact repeats in ``events`` (flags are
-    ORs, counts are sizes of per-key sets of (amount, reward)), so the frame
-    can be built from the raw log without a de-duplication shuffle; the sets
-    hold at most the distinct payloads seen at one key and hour.
+    is_completed flags and the number of distinct receipt and completion rows
+    at that key.
+
+    ``deduplicated=True`` (the input has no exact repeats) counts rows with
+    ``count_if``: a plain hash aggregate.  Otherwise the counts are sizes of
+    per-key sets of (amount, reward) payloads, which makes every output
+    insensitive to exact repeats, so the frame can be built from the raw log
+    without a de-duplication shuffle; a set holds at most the distinct
+    payloads seen at one key and hour.
     """
     ev = F.col("event")
-    payload = F.struct("amount", "reward")
-    completions = F.collect_set(F.when(ev == fixed.OFFER_COMPLETED, payload))
+    if deduplicated:
+        n_received = F.count_if(ev == fixed.OFFER_RECEIVED)
+        n_completed = F.count_if(ev == fixed.OFFER_COMPLETED)
+    else:
+        payload = F.struct("amount", "reward")
+        n_received = F.size(F.collect_set(F.when(ev == fixed.OFFER_RECEIVED, payload)))
+        n_completed = F.size(F.collect_set(F.when(ev == fixed.OFFER_COMPLETED, payload)))
     return (events
             .filter(F.col("offer_id").isNotNull() & ev.isin(*LIFECYCLE_EVENTS))
             .groupBy("person", "offer_id", "time")
             .agg(F.bool_or(ev == fixed.OFFER_RECEIVED).alias("is_received"),
                  F.bool_or(ev == fixed.OFFER_VIEWED).alias("is_viewed"),
                  F.bool_or(ev == fixed.OFFER_COMPLETED).alias("is_completed"),
-                 F.size(F.collect_set(F.when(ev == fixed.OFFER_RECEIVED, payload))).alias("n_received_rows"),
-                 completions.alias("_completions"))
-            .withColumn("n_completed_rows", F.size("_completions"))
-            .withColumn("n_completed_rewards",
-                        F.size(F.array_distinct(F.transform("_completions", lambda x: x["reward"]))))
-            .drop("_completions"))
+                 n_received.cast("int").alias("n_received_rows"),
+                 n_completed.cast("int").alias("n_completed_rows")))
 
 
-def lifecycle(events: DataFrame) -> DataFrame:
+def lifecycle(events: DataFrame, deduplicated: bool = False) -> DataFrame:
     """The as-of frame described in the module docstring."""
-    return lifecycle_from_keys(event_keys(events))
+    return lifecycle_from_keys(event_keys(events, deduplicated))
 
 
 def lifecycle_from_keys(keys: DataFrame) -> DataFrame:
@@ -130,8 +132,7 @@ def clear_events(keys: DataFrame, hits: DataFrame, event: str) -> DataFrame:
     elif event == fixed.OFFER_COMPLETED:
         marked = (marked.withColumn("deleted_completed", F.col("deleted_completed") | (hit & F.col("is_completed")))
                   .withColumn("is_completed", F.col("is_completed") & ~hit)
-                  .withColumn("n_completed_rows", F.when(hit, F.lit(0)).otherwise(F.col("n_completed_rows")))
-                  .withColumn("n_completed_rewards", F.when(hit, F.lit(0)).otherwise(F.col("n_completed_rewards"))))
+                  .withColumn("n_completed_rows", F.when(hit, F.lit(0)).otherwise(F.col("n_completed_rows"))))
     else:
         raise ValueError(f"only receipts and completions are deleted by key, not {event}")
     return marked.select(*keys.columns)

@@ -101,6 +101,7 @@ RULES = [
 def flagged_keys(events: DataFrame, offers: DataFrame, materialize: bool = True,
                  steps: int = len(RULES)) -> DataFrame:
     """(person, offer_id, time, event) of every row the ordered rules delete.
+    ``events`` is the de-duplicated log.
 
     The rules only ever delete receipts or completions at whole keys, and
     every rule reads the log only through the lifecycle key frame and the
@@ -112,7 +113,7 @@ def flagged_keys(events: DataFrame, offers: DataFrame, materialize: bool = True,
     lineage one level deep.  The raw log is read once for the keys, once for
     the transactions and once for the final anti-join.
     """
-    keys = _materialize(lc.event_keys(events), materialize, "lifecycle-keys")
+    keys = _materialize(lc.event_keys(events, deduplicated=True), materialize, "lifecycle-keys")
     points = _materialize(txn_points(prepare.transactions(events)), materialize, "txn-points")
     for i, (rule, event, time_col) in enumerate(RULES[:steps]):
         hits = rule(events, offers, frame=lc.lifecycle_from_keys(keys), points=points) \

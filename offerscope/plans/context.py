@@ -22,6 +22,9 @@ class Tables:
         self.portfolio = portfolio
         self.profile = profile
         self.transcript = transcript
+        # Build the as-of frame from the raw log (saves the de-duplication
+        # shuffle) unless the de-duplicated log is already materialized.
+        self.lifecycle_from_deduplicated = False
 
     @classmethod
     def from_testdata(cls, spark: SparkSession, sf_dir: str) -> "Tables":
@@ -37,6 +40,7 @@ class Tables:
         out = Tables(self.portfolio, self.profile, self.transcript)
         for name in parts:
             out.__dict__[name] = materialize(getattr(out, name), name.replace("_", "-"))
+        out.lifecycle_from_deduplicated = "events" in parts
         return out
 
     # ---- offers --------------------------------------------------------
@@ -74,8 +78,10 @@ class Tables:
 
     @cached_property
     def lifecycle(self) -> DataFrame:
-        """As-of frame; built from the raw flattened log because it is
-        insensitive to exact repeats (saves the de-duplication shuffle)."""
+        """As-of frame.  Insensitive to exact repeats, so it is built from the
+        raw flattened log unless the de-duplicated log is materialized."""
+        if self.lifecycle_from_deduplicated:
+            return lc.lifecycle(self.events, deduplicated=True)
         return lc.lifecycle(self.flat)
 
     # ---- profiles ------------------------------------------------------

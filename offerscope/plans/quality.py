@@ -124,6 +124,14 @@ def completed_unviewed(events: DataFrame, frame: DataFrame | None = None) -> Dat
 
 # ---------------------------------------------------------------- spend
 
+def _reward_groups(events: DataFrame) -> DataFrame:
+    """Per completion key: number of distinct rewards, a NULL reward counting
+    as one group (``GROUP BY … c.reward``).  Only the rule that groups by
+    reward needs it."""
+    return (prepare.completed(events).groupBy(*KEY)
+            .agg((F.count_distinct("reward") + F.max(F.col("reward").isNull().cast("int"))).alias("reward_groups")))
+
+
 def underspend(events: DataFrame, offers: DataFrame, *, until: str = "completion",
                require_in_window: bool = False, multiplicity: str | None = None,
                missing_spend_as_zero: bool = False, spend_scale: int | None = None,
@@ -146,7 +154,8 @@ def underspend(events: DataFrame, offers: DataFrame, *, until: str = "completion
         comp = comp.filter(F.col("time") <= F.col("expiry_time"))
     comp = comp.withColumnRenamed("last_received", "received_time").withColumnRenamed("time", "completed_time")
     if multiplicity == "rewards":
-        comp = comp.withColumn("_m", F.col("n_completed_rewards"))
+        groups = _reward_groups(events).withColumnRenamed("time", "completed_time")
+        comp = comp.join(groups, ["person", "offer_id", "completed_time"]).withColumn("_m", F.col("reward_groups"))
     elif multiplicity == "rows":
         comp = comp.withColumn("_m", F.col("n_completed_rows"))
     else:
