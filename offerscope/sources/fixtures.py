@@ -69,14 +69,15 @@ def portfolio_from(spark: SparkSession, events: DataFrame) -> DataFrame:
 
 
 def catalogue(spark: SparkSession) -> DataFrame:
-    """The fixed catalogue as a JVM-side local relation (no Python RDD), so
-    Catalyst knows its size and broadcasts it in joins."""
-    rows = [F.struct(F.lit(i).alias("id"), F.lit(r).cast("int").alias("reward"),
-                     F.lit(d).cast("int").alias("difficulty"), F.lit(float(dur)).alias("duration"),
-                     F.lit(t).alias("offer_type"), F.array(*[F.lit(c) for c in ch]).alias("channels"))
-            for i, r, d, dur, t, ch in OFFER_CATALOGUE]
-    return spark.range(1).select(F.inline(F.array(*rows))).select(
-        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.PORTFOLIO.fields])
+    """The fixed catalogue as a JVM-side local relation (one VALUES clause,
+    no Python RDD), so Catalyst knows its size and broadcasts it in joins."""
+    def row(i, r, d, dur, t, ch):
+        channels = ", ".join(f"'{c}'" for c in ch)
+        return f"('{i}', {r}, {d}, CAST({float(dur)} AS DOUBLE), '{t}', array({channels}))"
+    values = ",\n".join(row(*o) for o in OFFER_CATALOGUE)
+    cols = ", ".join(f.name for f in schemas.PORTFOLIO.fields)
+    df = spark.sql(f"SELECT * FROM VALUES {values} AS catalogue({cols})")
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.PORTFOLIO.fields])
 
 
 def profile_from(customer: DataFrame) -> DataFrame:
