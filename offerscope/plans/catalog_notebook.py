@@ -3,7 +3,6 @@ channel dummies and an exact-size random sample."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from ..operators import prepare
 from ..sources import tables

@@ -5,9 +5,7 @@ the join formulations (NOT EXISTS, ROW_NUMBER, MAX … GROUP BY)."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
-from ..operators import prepare
 from . import quality
 from .context import Tables
 from .registry import analysis, money_sum

@@ -1,7 +1,6 @@
 """Hand-written micro cases (at most ten rows) for the semantics that bite."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from offerscope import schemas
 from offerscope.functions import fixed
