@@ -196,16 +196,36 @@ def underspend_window(events: DataFrame, offers: DataFrame, frame: DataFrame | N
 # ---------------------------------------------------------------- receipts
 
 def receipt_windows(frame: DataFrame, offers: DataFrame) -> DataFrame:
-    """Distinct receipts of catalogue offers with expiry, the first completion
-    inside the window (or NULL), the first completion at or after the receipt,
-    and the next receipt of the same offer."""
+    """Distinct receipts of catalogue offers with expiry, window length, the
+    first completion inside the window (or NULL), the first completion at or
+    after the receipt, and the next receipt of the same offer."""
     rec = lc.with_offer_terms(frame.filter(F.col("is_received")), offers, "time")
     in_window = F.when(F.col("next_completed") <= F.col("expiry_time"), F.col("next_completed"))
     return rec.select("person", "offer_id", F.col("time").alias("received_time"), "expiry_time",
+                      (F.col("duration") * F.lit(fixed.HOURS_PER_DAY)).alias("window_hours"),
                       in_window.alias("completed_in_window"), F.col("next_completed").alias("first_completed"),
                       "next_received")
 
 
+def _bucket(t: Column, width: Column) -> Column:
+    return F.floor(F.try_divide(t.cast("double"), width))
+
+
+def _band_pairs(first: DataFrame, second: DataFrame, start: str, end: str, t: str) -> DataFrame:
+    """Pairs (first, second) of the same (person, offer_id) with
+    ``start < second.t < end``, where ``end - start`` never exceeds the
+    offer's window length.  Both sides are bucketed by that length: a first
+    row covers at most two buckets, a second row sits in one, so the join is
+    an equi-join on (person, offer_id, bucket) and only receipts less than one
+    window apart are ever compared — never every pair of a busy group."""
+    w = F.col("window_hours")
+    lo = first.withColumn("_b", F.explode(F.sequence(_bucket(F.col(start), w).cast("long"),
+                                                      _bucket(F.col(end), w).cast("long"))))
+    hi = second.withColumn("_b", _bucket(F.col(t), w).cast("long")).drop("window_hours")
+    pairs = lo.join(hi, ["person", "offer_id", "_b"])
+    return pairs.filter((F.col(t) > F.col(start)) & (F.col(t) < F.col(end))).drop("_b", "window_hours")
+
+
 def overlapping_receipts(events: DataFrame, offers: DataFrame, frame: DataFrame | None = None) -> DataFrame:
     """Receipt pairs where the second arrives before the first one ended
     (completion inside its window, else expiry)."""
@@ -213,11 +233,10 @@ def overlapping_receipts(events: DataFrame, offers: DataFrame, frame: DataFrame
     w = receipt_windows(frame, offers).withColumn(
         "end_time", F.coalesce(F.col("completed_in_window").cast("double"), F.col("expiry_time")))
     w1 = w.select("person", "offer_id", F.col("received_time").alias("first_received"),
-                  F.col("end_time").alias("first_end"))
-    w2 = w.select("person", "offer_id", F.col("received_time").alias("overlapping_received"))
-    return (w1.join(w2, ["person", "offer_id"])
-            .filter((F.col("overlapping_received") > F.col("first_received"))
-                    & (F.col("overlapping_received") < F.col("first_end"))))
+                  F.col("end_time").alias("first_end"), "window_hours")
+    w2 = w.select("person", "offer_id", F.col("received_time").alias("overlapping_received"), "window_hours")
+    return _band_pairs(w1, w2, "first_received", "first_end", "overlapping_received") \
+        .select("person", "offer_id", "first_received", "first_end", "overlapping_received")
 
 
 def overlapping_receipts_alt(events: DataFrame, offers: DataFrame, frame: DataFrame | None = None) -> DataFrame:
@@ -225,10 +244,9 @@ def overlapping_receipts_alt(events: DataFrame, offers: DataFrame, frame: DataFr
     frame = frame if frame is not None else lc.lifecycle(events)
     w = receipt_windows(frame, offers)
     r1 = w.select("person", "offer_id", F.col("received_time").alias("first_received"), "expiry_time",
-                  F.col("first_completed").alias("completed_time"))
-    r2 = w.select("person", "offer_id", F.col("received_time").alias("second_received"))
-    cond = ((F.col("second_received") > F.col("first_received"))
-            & (F.col("second_received") < F.col("expiry_time"))
-            & (F.col("completed_time").isNull() | (F.col("second_received") < F.col("completed_time"))))
-    return r1.join(r2, ["person", "offer_id"]).filter(cond) \
+                  F.col("first_completed").alias("completed_time"), "window_hours")
+    r2 = w.select("person", "offer_id", F.col("received_time").alias("second_received"), "window_hours")
+    pairs = _band_pairs(r1, r2, "first_received", "expiry_time", "second_received")
+    cond = F.col("completed_time").isNull() | (F.col("second_received") < F.col("completed_time"))
+    return pairs.filter(cond) \
         .select("person", "offer_id", "first_received", "second_received", "expiry_time", "completed_time")
