@@ -173,3 +173,11 @@ def test_empty_inputs(spark, offers):
     assert cleaning.clean_events(e, offers).count() == 0
     assert kpis.completion_by_viewer_speed(lc.lifecycle(e)).count() == 0
     assert profiling.five_number(e, "amount").collect()[0][0] is None
+
+
+def test_approximate_quantiles_close_to_exact(tables):
+    exact = profiling.five_number(tables.txns, "amount").collect()[0]
+    approx = profiling.five_number(tables.txns, "amount", approx=True).collect()[0]
+    assert approx[0] == exact[0] and approx[4] == exact[4]
+    for e, a in zip(exact, approx):
+        assert abs(e - a) <= 0.05 * (exact[4] - exact[0])
