@@ -161,6 +161,8 @@ def underspend(events: DataFrame, offers: DataFrame, *, until: str = "completion
     else:
         comp = comp.withColumn("_m", F.lit(1))
     end = "completed_time" if until == "completion" else "expiry_time"
+    # Only what the rules report travels through the spend shuffles.
+    comp = comp.select("person", "offer_id", "completed_time", "received_time", "expiry_time", "difficulty", "_m")
     txns = prepare.transactions(events) if points is None else None
     spent = window_spend(comp, txns, "received_time", end, points=points)
     total = (F.col("spend") * F.col("_m")).cast("double")
