@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 from ..operators import prepare
@@ -23,9 +24,18 @@ def read_profiles(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> D
     return spark.read.schema(schemas.PROFILE).option("mode", mode).json(path)
 
 
-def read_events(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
-    """Raw events with ``value`` as a struct of the four possible keys."""
-    return spark.read.schema(schemas.TRANSCRIPT_JSON).option("mode", mode).json(path)
+def read_events(spark: SparkSession, path: str, mode: str = "PERMISSIVE",
+                corrupt_column: str | None = None) -> DataFrame:
+    """Raw events with ``value`` as a struct of the four possible keys.
+
+    ``corrupt_column`` keeps the text of malformed lines in that column (NULL
+    for good lines) instead of returning them as all-NULL rows."""
+    schema = schemas.TRANSCRIPT_JSON
+    reader = spark.read.option("mode", mode)
+    if corrupt_column:
+        schema = T.StructType(schema.fields + [T.StructField(corrupt_column, T.StringType())])
+        reader = reader.option("columnNameOfCorruptRecord", corrupt_column)
+    return reader.schema(schema).json(path)
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:

@@ -98,3 +98,16 @@ def test_report_writes_each_analysis(spark, tables):
         got = sorted(map(repr, spark.read.parquet(f"{out}/{n}").collect()))
         want = sorted(map(repr, ANALYSES[n](tables).collect()))
         assert got == want
+
+
+def test_malformed_lines_are_kept_aside(spark):
+    d = tempfile.mkdtemp(prefix="offerscope-io-", dir="/tmp")
+    path = os.path.join(d, "bad.json")
+    _write_lines(path, [json.dumps({"person": "p", "event": "transaction", "value": {"amount": 2.0}, "time": 1}),
+                        "{not json"])
+    df = jsonl.read_events(spark, path, corrupt_column="_corrupt_record").cache()
+    rows = df.collect()
+    assert len(rows) == 2
+    bad = [r for r in rows if r["_corrupt_record"] is not None]
+    assert len(bad) == 1 and bad[0]["_corrupt_record"] == "{not json"
+    df.unpersist()
