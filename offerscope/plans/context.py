@@ -43,6 +43,16 @@ class Tables:
         out.lifecycle_from_deduplicated = "events" in parts
         return out
 
+    def after_cleaning(self, materialize: bool = True) -> "Tables":
+        """A copy whose event log is the log after the ordered deletes
+        (``cleaning.clean_events``), as the descriptive analyses saw it when
+        they ran after the cleaning script."""
+        from .cleaning import clean_events
+        out = Tables(self.portfolio, self.profile, self.transcript)
+        out.__dict__["events"] = clean_events(self.events, self.offers, materialize=materialize)
+        out.lifecycle_from_deduplicated = True
+        return out
+
     # ---- offers --------------------------------------------------------
     @cached_property
     def offers(self) -> DataFrame:

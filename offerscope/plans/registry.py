@@ -11,6 +11,7 @@ from .oracle import with_prelude
 
 ANALYSES: dict[str, Callable[[Tables], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+RAW_ORACLES: dict[str, str] = {}   # the same queries without the prelude
 
 
 def analysis(name: str, oracle: str | None = None):
@@ -21,6 +22,7 @@ def analysis(name: str, oracle: str | None = None):
             raise ValueError(f"duplicate analysis {name}")
         ANALYSES[name] = fn
         if oracle is not None:
+            RAW_ORACLES[name] = oracle
             ORACLES[name] = with_prelude(oracle)
         return fn
     return deco
@@ -49,3 +51,4 @@ def rupee_sql(expr: str, decimals: int = 0) -> str:
 def load_all() -> None:
     """Import every catalog module so that its analyses register."""
     from . import catalog_audit, catalog_cleaning, catalog_explore, catalog_kpis, catalog_notebook, catalog_quality  # noqa: F401
+    from . import catalog_after_cleaning  # noqa: F401
