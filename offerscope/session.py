@@ -27,12 +27,13 @@ BASE_CONF = {
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app: str = "offerscope", driver_memory: str = "8g") -> SparkSession:
+                  app: str = "offerscope", driver_memory: str = "8g",
+                  extra_conf: dict[str, str] | None = None) -> SparkSession:
     """A local session for tests and the bench."""
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
                .config("spark.driver.memory", driver_memory))
-    for key, value in BASE_CONF.items():
+    for key, value in {**BASE_CONF, **(extra_conf or {})}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -12,8 +12,11 @@ SF_MID = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
+    import tempfile
     from offerscope.session import local_session
-    session = local_session(cores="*", shuffle_partitions=8, app="offerscope-tests", driver_memory="4g")
+    warehouse = tempfile.mkdtemp(prefix="offerscope-warehouse-", dir="/tmp")
+    session = local_session(cores="*", shuffle_partitions=8, app="offerscope-tests", driver_memory="4g",
+                            extra_conf={"spark.sql.warehouse.dir": warehouse})
     yield session
     session.stop()
 
