@@ -8,6 +8,8 @@ frames).
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,8 +115,12 @@ def flagged_keys(events: DataFrame, offers: DataFrame, materialize: bool = True,
     lineage one level deep.  The raw log is read once for the keys, once for
     the transactions and once for the final anti-join.
     """
-    keys = _materialize(lc.event_keys(events, deduplicated=True), materialize, "lifecycle-keys")
-    points = _materialize(txn_points(prepare.transactions(events)), materialize, "txn-points")
+    # The key frame and the transaction totals are independent jobs: submit
+    # them together so they share the cluster instead of running back to back.
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        keys_job = pool.submit(_materialize, lc.event_keys(events, deduplicated=True), materialize, "lifecycle-keys")
+        points_job = pool.submit(_materialize, txn_points(prepare.transactions(events)), materialize, "txn-points")
+        keys, points = keys_job.result(), points_job.result()
     for i, (rule, event, time_col) in enumerate(RULES[:steps]):
         hits = rule(events, offers, frame=lc.lifecycle_from_keys(keys), points=points) \
             .select("person", "offer_id", F.col(time_col).alias("time"))
