@@ -181,3 +181,10 @@ def test_approximate_quantiles_close_to_exact(tables):
     assert approx[0] == exact[0] and approx[4] == exact[4]
     for e, a in zip(exact, approx):
         assert abs(e - a) <= 0.05 * (exact[4] - exact[0])
+
+
+def test_orphan_person_keeps_null_person(spark):
+    e = ev(spark, [(None, X, 0, None, 1.0, None), ("p", X, 0, None, 2.0, None), ("q", X, 0, None, 3.0, None)])
+    prof = spark.createDataFrame([("p",)], "id string")
+    got = sorted(((r["person"], r["amount"]) for r in quality.orphan_person(e, prof).collect()), key=repr)
+    assert got == sorted([(None, 1.0), ("q", 3.0)], key=repr)
