@@ -1,8 +1,73 @@
-"""Corpus pipeline."""
+"""Corpus pipeline: language ID, line dedup, near-duplicate removal, PII
+redaction, packing.
 
-STAGES = []
+Each stage is a function of (spark, docs, sf_dir); its result is written as
+Parquet and read again as the next one's ``docs``.  All but the last return
+the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from offerscope.llm import language, line_dedup, ngram_jaccard, packing, pii
+from offerscope.llm.catalog import WORD_BPE
+from offerscope.llm.common import DOC_COLUMNS, Scratch, read
+from offerscope.llm.encode import tokenizer_path
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language is rejected (also null and letterless
+    texts); the others stay as they are."""
+    said = language.identify(docs, language.train(language.training_rows(docs)))
+    return said.where("NOT rejected").select(*DOC_COLUMNS)
+
+
+def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Deletes later copies of repeated line runs; a document of which no word
+    is left was a copy throughout and goes."""
+    done = line_dedup.dedup(docs)
+    return done.where("n_deleted = 0 OR n_deleted < n_lines").withColumn("n_chars", F.char_length("text").cast("long")).select(*DOC_COLUMNS)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of smallest id of each component of near copies
+    (one row of it); documents without words or without an id stay."""
+    found = ngram_jaccard.near_duplicates(docs)
+    spare = found.where("doc_id <> component_id").select("doc_id").distinct()
+    once = docs.where("doc_id IS NOT NULL").join(spare, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(docs.where("doc_id IS NULL")).select(*DOC_COLUMNS)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces each span of personal data by its kind; no document goes."""
+    found = pii.detect(docs, pii.train(pii.labelled_regions()))
+    return found.withColumn("text", F.col("redacted")).withColumn("n_chars", F.char_length("text").cast("long")).select(*DOC_COLUMNS)
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of at most 2048 tokens."""
+    return packing.pack(docs, tokenizer_path(WORD_BPE), end_id=1, window=2048)
+
+
+STAGES = [
+    ("language", identify_language),
+    ("line_dedup", remove_repeated_lines),
+    ("ngram_jaccard", keep_one_of_each_group),
+    ("pii", redact_personal_data),
+    ("packing", pack_windows),
+]
+
+# Trained models, tokenizers and components by similarity have no SQL form;
+# the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the ``documents`` table."""
+    scratch = Scratch(spark, "pipeline")
+    docs = read(spark, sf_dir, "documents").select(*DOC_COLUMNS)
+    for name, stage in STAGES:
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+    return docs

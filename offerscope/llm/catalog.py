@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, speculative_bpe, token_files, url_filter
+from . import embedding_links, fingerprint, language, line_dedup, ngram_jaccard, packing, pii, speculative_bpe, token_files, url_filter
 from .common import Scratch, read
 from .encode import tokenizer_path
 
@@ -15,6 +15,20 @@ BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(read(spark, sf_dir, "documents").select("doc_id", "text"), pii.train(pii.labelled_regions()))
+    return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup(docs).select("doc_id", "n_lines", "n_deleted", "text")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = Scratch(spark, "op4").path("files")
     files = token_files.write_token_files(read(spark, sf_dir, "documents"), folder, tokenizer_path(BYTE_BPE), end_id=0, vocab=50257)
@@ -26,10 +40,26 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"), url_filter.RULES, weights)
 
 
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return fingerprint.fingerprint_pairs(docs, fingerprint.rarity(docs))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), end_id=1, window=2048)
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language.train(language.training_rows(docs))
+    said = language.identify(docs.select("doc_id", "text"), model)
+    return said.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op9_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links.link(read(spark, sf_dir, "embeddings"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = speculative_bpe.encode_decode(read(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE))
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids_sha256",
@@ -37,6 +67,43 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_token_files, op5_url_filter, op7_packing, op10_bpe)
+    f.__name__: f for f in (op1_ngram_jaccard, op2_pii, op3_line_dedup, op4_token_files, op5_url_filter, op6_fingerprint, op7_packing,
+                            op8_language, op9_embedding_links, op10_bpe)
 }
-ORACLES: dict[str, str] = {}
+
+# Row order of the table is doc_id order; a window is the shortest run of
+# worded lines from a line on that has 10 words.
+_OP3 = r"""
+WITH cut AS (
+  SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+), every AS (
+  SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM cut
+), worded AS (
+  SELECT doc_id, pos, line, len(regexp_extract_all(line, '[^ 	-]+')) AS words FROM every
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS idx FROM worded WHERE words > 0
+), ahead AS (
+  SELECT *, list(words) OVER w AS ws, list(line) OVER w AS ls
+  FROM numbered WINDOW w AS (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)
+), reach AS (
+  SELECT doc_id, idx, ls, list_position(list_transform(range(1, len(ws) + 1), lambda k: list_sum(ws[1:k]) >= 10), true) AS n FROM ahead
+), runs AS (
+  SELECT doc_id, idx, n, md5(list_aggregate(ls[1:n], 'string_agg', chr(10))) AS run FROM reach WHERE n > 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, idx) AS nth FROM runs
+), covered AS (
+  SELECT DISTINCT doc_id, unnest(range(idx, idx + n)) AS idx FROM placed WHERE nth > 1
+), gone AS (
+  SELECT doc_id, pos FROM numbered JOIN covered USING (doc_id, idx)
+), kept AS (
+  SELECT e.doc_id, string_agg(e.line, chr(10) ORDER BY e.pos) AS text
+  FROM every e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.pos = g.pos WHERE g.pos IS NULL GROUP BY e.doc_id
+)
+SELECT c.doc_id, coalesce(l.n, 0)::BIGINT AS n_lines, coalesce(d.n, 0)::BIGINT AS n_deleted,
+       CASE WHEN c.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
+FROM cut c
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM numbered GROUP BY doc_id) l ON l.doc_id = c.doc_id
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) d ON d.doc_id = c.doc_id
+LEFT JOIN kept k ON k.doc_id = c.doc_id
+"""
+ORACLES: dict[str, str] = {"op3_line_dedup": _OP3}
