@@ -32,24 +32,14 @@ def impute_by_draw(df: DataFrame, col: str, id_col: str = "id",
     return df.withColumn(col, F.coalesce(F.col(col), drawn))
 
 
-def checked_broadcast(small: DataFrame, max_rows: int) -> DataFrame:
-    """``small`` marked for broadcast only if it has at most ``max_rows`` rows
-    (one count job over the small side); otherwise returned as is, and the
-    join is a sort-merge join whose skewed partitions AQE splits."""
-    return F.broadcast(small) if small.count() <= max_rows else small
-
-
 def impute_by_group_median(df: DataFrame, col: str, by: Sequence[str],
-                           group_exprs: dict[str, Column] | None = None,
-                           max_broadcast_groups: int = 100_000) -> DataFrame:
+                           group_exprs: dict[str, Column] | None = None) -> DataFrame:
     """Fill NULLs of ``col`` with the exact median of its group.
 
-    The medians are one grouped aggregate with one row per group.  The groups
-    are few here (genders × age bands), and a sort-merge join on so few keys
-    would put each whole group into one task, so the medians are broadcast —
-    after checking their row count against ``max_broadcast_groups``; beyond
-    that the join is left to sort-merge with AQE skew splitting.  A group
-    with no known value leaves the NULL in place.
+    The medians are one grouped aggregate with one row per group.  The join
+    carries no hint: adaptive execution knows the medians' measured size and
+    broadcasts them when they are small, else it splits skewed groups.  A
+    group with no known value leaves the NULL in place.
     """
     group_exprs = group_exprs or {}
     keyed = df
@@ -58,6 +48,6 @@ def impute_by_group_median(df: DataFrame, col: str, by: Sequence[str],
     medians = profiling.median(keyed, col, "_median", by=list(by))
     # A NULL gender or band is a group of its own in the medians but never
     # matches in an equi-join, exactly like ``c.g = m.g``.
-    joined = keyed.join(checked_broadcast(medians, max_broadcast_groups), list(by), "left")
+    joined = keyed.join(medians, list(by), "left")
     out = joined.withColumn(col, F.coalesce(F.col(col), F.col("_median").cast(dict(df.dtypes)[col])))
     return out.select(*df.columns)

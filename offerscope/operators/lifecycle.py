@@ -88,16 +88,20 @@ def lifecycle_from_keys(keys: DataFrame) -> DataFrame:
     def at(flag: str):
         return F.when(F.col(flag), t)
 
+    def known(found):
+        # NULL persons form one window partition but match nobody in a join.
+        return F.when(F.col("person").isNotNull(), found)
+
     # One select, so Catalyst builds one Window operator per sort order
     # (frames may differ inside one operator) instead of one per column.
     return keys.select(
         *keys.columns,
-        F.max(at("is_received")).over(upto).alias("last_received"),
-        F.max(at("is_received")).over(before).alias("prev_received"),
-        F.max(at("is_viewed")).over(upto).alias("last_viewed"),
-        F.min(at("is_received")).over(after).alias("next_received"),
-        F.min(at("is_viewed")).over(from_here).alias("next_viewed"),
-        F.min(at("is_completed")).over(from_here).alias("next_completed"))
+        known(F.max(at("is_received")).over(upto)).alias("last_received"),
+        known(F.max(at("is_received")).over(before)).alias("prev_received"),
+        known(F.max(at("is_viewed")).over(upto)).alias("last_viewed"),
+        known(F.min(at("is_received")).over(after)).alias("next_received"),
+        known(F.min(at("is_viewed")).over(from_here)).alias("next_viewed"),
+        known(F.min(at("is_completed")).over(from_here)).alias("next_completed"))
 
 
 def with_offer_terms(frame: DataFrame, offers: DataFrame, receipt_col: str = "last_received",

@@ -117,15 +117,3 @@ def distinct_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in cols)
     return df.selectExpr(f"stack({len(cols)}, {pairs}) AS (attribute, value)").distinct()
-
-
-def pearson_by_sums(df: DataFrame, x: str, y: str, name: str = "correlation") -> DataFrame:
-    """Pearson correlation written with raw sums and ``COUNT(*)`` (rows with a
-    NULL still count in n).  ``F.corr`` is the numerically stable choice;
-    this form reproduces the textbook formula exactly."""
-    xd, yd = F.col(x).cast("double"), F.col(y).cast("double")
-    n = F.count(F.lit(1)).cast("double")
-    sx, sy = F.sum(xd), F.sum(yd)
-    num = n * F.sum(xd * yd) - sx * sy
-    den = F.sqrt(n * F.sum(F.pow(xd, 2)) - F.pow(sx, 2)) * F.sqrt(n * F.sum(F.pow(yd, 2)) - F.pow(sy, 2))
-    return df.agg(F.try_divide(num, den).alias(name))

@@ -31,11 +31,16 @@ from pyspark.sql import functions as F
 _BEFORE, _TXN, _THROUGH = 0, 1, 2
 
 
-def money(col, money_scale: int = 2):
-    return col.cast(f"decimal(20,{money_scale})")
+MONEY_SCALE = 10
 
 
-def txn_points(txns: DataFrame, person: str = "person", money_scale: int = 2) -> DataFrame:
+def money(col, money_scale: int = MONEY_SCALE):
+    """An amount as DECIMAL for exact sums.  The scale is far below a cent, so
+    no amount is rounded to money before it is summed."""
+    return col.cast(f"decimal(28,{money_scale})")
+
+
+def txn_points(txns: DataFrame, person: str = "person", money_scale: int = MONEY_SCALE) -> DataFrame:
     """Transactions pre-aggregated to one row per (person, hour): the running
     sums only ever need these totals.  Reusable across several spend rules."""
     return (txns.filter(F.col("amount").isNotNull())
@@ -45,7 +50,7 @@ def txn_points(txns: DataFrame, person: str = "person", money_scale: int = 2) ->
 
 
 def window_spend(intervals: DataFrame, txns: DataFrame | None, start: str, end: str,
-                 person: str = "person", money_scale: int = 2,
+                 person: str = "person", money_scale: int = MONEY_SCALE,
                  points: DataFrame | None = None) -> DataFrame:
     """``intervals`` plus ``spend`` (decimal, NULL if no transaction) and
     ``n_txn`` for transactions of the same person with start <= time <= end.
@@ -71,8 +76,8 @@ def window_spend(intervals: DataFrame, txns: DataFrame | None, start: str, end:
         F.max(F.when(is_lo, F.col("_cum_amt"))).alias("_lo_amt"), F.max(F.when(is_lo, F.col("_cum_n"))).alias("_lo_n"),
         F.max(F.when(is_hi, F.col("_cum_amt"))).alias("_hi_amt"), F.max(F.when(is_hi, F.col("_cum_n"))).alias("_hi_n"))
     lo_t, hi_t = F.col(start).cast("double"), F.col(end).cast("double")
-    # An empty or unbounded interval matches nothing, as BETWEEN would.
-    n = F.when(lo_t.isNull() | hi_t.isNull() | (hi_t < lo_t), F.lit(0)).otherwise(F.col("_hi_n") - F.col("_lo_n"))
+    # An empty or unbounded interval, or one of no person, matches nothing.
+    n = F.when(F.col(person).isNull() | lo_t.isNull() | hi_t.isNull() | (hi_t < lo_t), F.lit(0)).otherwise(F.col("_hi_n") - F.col("_lo_n"))
     return (paired.withColumn("n_txn", n)
             .withColumn("spend", F.when(F.col("n_txn") > 0, F.col("_hi_amt") - F.col("_lo_amt")))
             .drop("_lo_amt", "_lo_n", "_hi_amt", "_hi_n"))

@@ -46,7 +46,7 @@ SELECT id, reward, difficulty, duration, offer_type,
        CAST(list_contains(channels, 'web') AS INTEGER) AS web
 FROM portfolio""")
 def channel_dummies(t: Tables):
-    return prepare.channel_dummies(t.portfolio)
+    return prepare.channel_dummies(t.portfolio, values=["email", "mobile", "social", "web"])
 
 
 @analysis("nb_sample_events")

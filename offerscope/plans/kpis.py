@@ -30,19 +30,20 @@ def spend_per_person(txns: DataFrame) -> DataFrame:
                                       F.count(F.lit(1)).alias("n_txn"))
 
 
+# Purchases without a person count as purchases, but NULL is no customer.
 def spend_per_customer(txns: DataFrame) -> DataFrame:
     per = spend_per_person(txns)
-    return per.agg(ratio(F.sum("total"), F.count(F.lit(1))).alias("avg_order_value"))
+    return per.agg(ratio(F.sum("total"), F.count("person")).alias("avg_order_value"))
 
 
 def txn_per_customer(txns: DataFrame) -> DataFrame:
     per = spend_per_person(txns)
-    return per.agg(ratio(F.sum("n_txn"), F.count(F.lit(1))).alias("avg_trans_per_cust"))
+    return per.agg(ratio(F.sum("n_txn"), F.count("person")).alias("avg_trans_per_cust"))
 
 
 def repeat_rate(txns: DataFrame) -> DataFrame:
     per = spend_per_person(txns)
-    return per.agg(ratio(F.count_if(F.col("n_txn") > 1), F.count(F.lit(1))).alias("repeat_cust_rate"))
+    return per.agg(ratio(F.count_if((F.col("n_txn") > 1) & F.col("person").isNotNull()), F.count("person")).alias("repeat_cust_rate"))
 
 
 def persons_without(events: DataFrame, have: str, lack: str) -> DataFrame:

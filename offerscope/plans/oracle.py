@@ -5,7 +5,7 @@ inputs from the pre-registered ``events`` and ``customer`` views, exactly as
 ``sources.fixtures`` does) followed by one query.  The lifecycle questions
 are written with joins (``NOT EXISTS``, ``ROW_NUMBER``, ``MIN … GROUP BY``)
 as the original analyses were, so they check the Spark window/prefix-sum
-plans independently.  Money sums are done in DECIMAL(20,2) like the Spark
+plans independently.  Money sums are done in DECIMAL(28,10) like the Spark
 side; every ``1.0 * a / b`` is a DOUBLE with NULLIF on the divisor.
 """
 
@@ -44,10 +44,10 @@ profile AS (
     CAST((2013 + c_custkey % 6) * 10000 + (1 + c_custkey % 12) * 100 + 1 + c_custkey % 28 AS INTEGER) AS became_member_on,
     CASE WHEN c_custkey % 8 = 0 THEN NULL
          ELSE CAST(30000 + 1000 * floor(pow(CAST((c_custkey * 53) % 91 AS DOUBLE), 4) / 729000.0) AS DOUBLE) END AS income
-  FROM customer WHERE c_custkey % 50 <> 49
+  FROM customer
 ),
 tr_base AS (
-  SELECT 'person_' || CAST(user_id AS VARCHAR) AS person,
+  SELECT CASE WHEN user_id % 50 = 49 THEN 'stranger_' ELSE 'person_' END || CAST(user_id AS VARCHAR) AS person,
     CASE WHEN event_type = 'purchase' AND user_id % 20 <> 17 THEN 'transaction'
          WHEN event_type = 'view' AND user_id % 20 <> 18 THEN 'offer viewed'
          WHEN event_type = 'click' AND user_id % 20 <> 19 THEN 'offer completed'

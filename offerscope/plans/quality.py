@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..operators import impute
 from ..operators import lifecycle as lc
 from ..operators import prepare
 from ..operators.spend import window_spend
@@ -39,18 +38,17 @@ def orphan_offer(events: DataFrame, offers: DataFrame) -> DataFrame:
         .select(*events.columns)
 
 
-def orphan_person(events: DataFrame, profile: DataFrame, max_broadcast_persons: int = 1_000_000) -> DataFrame:
+def orphan_person(events: DataFrame, profile: DataFrame) -> DataFrame:
     """Events whose person has no profile.
 
     The anti-join runs on the distinct persons of the log (a map-side
     de-duplicated, compact set), not on the raw events; the raw events are
-    then filtered against the (usually small) set of orphan persons, which is
-    broadcast after a size check — so a person with a third of all events is
-    never shuffled to one task.  Beyond the limit the filter is a semi-join
-    that AQE's skew handling splits."""
+    then filtered against the (usually small) set of orphan persons: adaptive
+    execution broadcasts that set if its measured size is small, else it
+    splits the join's skewed partitions."""
     people = profile.select(F.col("id").alias("person"))
     orphans = events.select("person").distinct().join(people, "person", "left_anti")
-    orphans = impute.checked_broadcast(orphans.withColumnRenamed("person", "_orphan"), max_broadcast_persons)
+    orphans = orphans.withColumnRenamed("person", "_orphan")
     # Null-safe: an event without a person has no profile either.
     return events.join(orphans, events["person"].eqNullSafe(orphans["_orphan"]), "left_semi") \
         .select(*events.columns)

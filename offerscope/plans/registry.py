@@ -30,7 +30,7 @@ def analysis(name: str, oracle: str | None = None):
 
 def money_sum(expr: str) -> str:
     """Exact money sum in the oracle, matching ``operators.spend.money``."""
-    return f"CAST(SUM(CAST({expr} AS DECIMAL(20,2))) AS DOUBLE)"
+    return f"CAST(SUM(CAST({expr} AS DECIMAL(28,10))) AS DOUBLE)"
 
 
 def rupee_sql(expr: str, decimals: int = 0) -> str:

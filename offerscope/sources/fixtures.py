@@ -44,7 +44,7 @@ TIME_GRAIN_HOURS = 6            # event times are whole multiples of 6 hours
 ORPHAN_OFFER_MIN_K = 98         # k >= 98 names an offer missing from the catalogue
 BAD_REWARD_EVERY = 97           # every 97th completion carries a wrong reward
 BAD_REWARD = 99
-ORPHAN_PERSON_EVERY = 50        # customers with c_custkey % 50 = 49 have no profile
+ORPHAN_PERSON_EVERY = 50        # events with user_id % 50 = 49 are of a person without a profile
 
 
 @dataclass(frozen=True)
@@ -94,10 +94,9 @@ def profile_from(customer: DataFrame) -> DataFrame:
     income = F.when(unknown, F.lit(None).cast("double")).otherwise(
         (F.lit(30000) + F.lit(1000) * F.floor((u * u * u * u).cast("double") / F.lit(729000.0))).cast("double"))
     joined = ((F.lit(2013) + key % 6) * 10000 + (F.lit(1) + key % 12) * 100 + F.lit(1) + key % 28).cast("int")
-    return (customer.filter(key % ORPHAN_PERSON_EVERY != ORPHAN_PERSON_EVERY - 1)
-            .select(gender.alias("gender"), age.cast("int").alias("age"),
-                    F.concat(F.lit("person_"), key.cast("string")).alias("id"),
-                    joined.alias("became_member_on"), income.alias("income")))
+    return (customer.select(gender.alias("gender"), age.cast("int").alias("age"),
+                             F.concat(F.lit("person_"), key.cast("string")).alias("id"),
+                             joined.alias("became_member_on"), income.alias("income")))
 
 
 def transcript_from(events: DataFrame) -> DataFrame:
@@ -123,7 +122,9 @@ def transcript_from(events: DataFrame) -> DataFrame:
                    F.concat(F.lit("{'offer_id': '"), offer_id, F.lit("', 'reward': "),
                             reward.cast("string"), F.lit("}")))
              .otherwise(F.concat(F.lit("{'offer id': '"), offer_id, F.lit("'}"))))
-    return events.select(F.concat(F.lit("person_"), uid.cast("string")).alias("person"),
+    stranger = uid % ORPHAN_PERSON_EVERY == ORPHAN_PERSON_EVERY - 1
+    person = F.concat(F.when(stranger, "stranger_").otherwise("person_"), uid.cast("string"))
+    return events.select(person.alias("person"),
                          event.alias("event"), value.alias("value"), time.alias("time"))
 
 

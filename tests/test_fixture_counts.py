@@ -27,8 +27,8 @@ EXPECTED = {
     "cln_drop_underspend_lateral": 308,
     "kpi_inactive_customers": 7,
     "kpi_never_viewed": 7,
-    "eda_age_outliers": 138,
-    "eda_income_outliers": 141,
+    "eda_age_outliers": 143,
+    "eda_income_outliers": 130,
     "eda_amount_outliers": 88,
     "mul_rate_by_gender_offer_type": 6,
     "kpi_completion_by_viewer_speed": 3,
@@ -42,7 +42,7 @@ def mid(spark):
 
 
 def test_base_sizes(mid):
-    assert mid.profile.count() == 1470
+    assert mid.profile.count() == 1500
     assert mid.transcript.count() == 10000
     assert mid.events.count() == 9929
     counts = {r["event"]: r["n"] for r in mid.events.groupBy("event").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -73,5 +73,5 @@ def test_expired_share_and_completion_hours(mid):
 
 def test_profile_sums_and_correlation(mid):
     s = mid.profile_clean.agg(F.sum("income"), F.sum("age")).collect()[0]
-    assert (s[0], s[1]) == (68083500.0, 50005)
-    assert round(ANALYSES["mul_corr_age_income"](mid).collect()[0][0], 6) == -0.008868
+    assert (s[0], s[1]) == (69557500.0, 51198)
+    assert round(ANALYSES["mul_corr_age_income"](mid).collect()[0][0], 6) == -0.010791
