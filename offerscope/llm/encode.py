@@ -3,7 +3,8 @@ word once.
 
 A pre-tokenizer never joins what lies on both sides of a word gap, so a text's
 ids are its words' ids in a row.  Words are looked up in a bounded cache and
-only new ones go to the library.  A text whose gaps are unusual (see
+only new ones go to the library: letters only, alone or before one mark, straight
+to its BPE model, others through the whole library.  A text whose gaps are unusual (see
 ``_byte_words`` and ``_plain_words``) or that may hold a special token's
 string goes to the library whole.
 """
@@ -13,7 +14,9 @@ from __future__ import annotations
 import os
 import re
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000    # about 150 MB a worker
+MARKS = ".,!?;:"
+PLAIN_LETTERS = "\u024f"    # letters up to here have one lower-case form and are composed; but for U+0130
 
 # A space that no word follows: the byte-level pattern then joins gaps.
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
@@ -45,20 +48,56 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = _plain_words if self.tokenizer.normalizer else _byte_words
+        self.byte_level = self.tokenizer.normalizer is None
+        self.words = _byte_words if self.byte_level else _plain_words
         self.cache: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        from .speculative_bpe import byte_letters
+        self.letters = {b: c for c, b in byte_letters().items()}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         import numpy as np
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _parts(self, word: str) -> list[str] | None:
+        """A word's pre-tokens, if it is lines of letters, each before a mark
+        at most; the pre-tokenizer always cuts there."""
+        out = []
+        for k, line in enumerate(word.split("\n")):
+            stem = line[:-1] if line[-1:] in MARKS else line
+            core = stem[1:] if k == 0 and self.byte_level and stem[:1] == " " else stem
+            if not core.isalpha() or not self.byte_level and (max(core) > PLAIN_LETTERS or "\u0130" in core):
+                return None
+            out += (["\n"] if k else []) + [stem] + ([line[-1]] if stem != line else [])
+        return out
+
+    def _letters(self, stem: str) -> bytes:
+        """Ids of one pre-token of letters, from the library's BPE model."""
+        import numpy as np
+        text = stem if self.byte_level else stem.lower()
+        return np.asarray([t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
+
+    def _learn(self, new: list[str]) -> None:
+        cache, rest = self.cache, []
+        for word in new:
+            parts = self._parts(word)
+            if parts is None:
+                rest.append(word)
+                continue
+            for p in parts:
+                if p not in cache:
+                    cache[p] = self._library([p])[0] if p == "\n" or p in MARKS else self._letters(p)
+            if len(parts) > 1:
+                cache[word] = b"".join([cache[p] for p in parts])
+        cache.update(zip(rest, self._library(rest)))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [None if any(s in t for s in self.special) else self.words(t) for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         cache = self.cache
         new = list(set().union(*[w for w in split if w]) - cache.keys())
-        cache.update(zip(new, self._library(new)))
+        self._learn(new)
         whole = iter(self._library([t for t, w in zip(texts, split) if w is None]))
         return [next(whole) if w is None else b"".join(map(cache.__getitem__, w)) for w in split]
 
