@@ -36,6 +36,7 @@ from .shingles import mix, shingle_sets
 NEED = 75               # 100 * intersection >= NEED * union; prefixes and bounds follow from it
 CELLS = 1 << 16         # of the count sketch; a fixed size
 BLOOM = 1 << 24         # bits that mark documents whose sets are read again; a fixed size
+BAND = 1.1              # ratio of the set sizes of a band
 SEEN = 200_000          # vertices a task remembers, to emit copies once
 
 
@@ -201,26 +202,30 @@ class JaccardJoin:
 
     def _opened(self, shared: DataFrame, groups: DataFrame) -> DataFrame:
         """(a, na, b): queries and the members of the groups they open."""
+        # A group's union is kept by size band: the bound needs the members'
+        # sizes, and a wide range of them would make it weak.
+        band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(BAND))).cast("int")
         sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
         of = groups.join(sizes, "root").select(F.col("node").alias("key"), "root", "size")
         rows = (shared.select("token", "key", "n").join(of, "key", "left")
-                .select("token", "key", "n", F.coalesce("root", "key").alias("g"), F.coalesce("size", F.lit(1)).alias("size")))
+                .select("token", "key", "n", F.coalesce("root", "key").alias("g"), F.coalesce("size", F.lit(1)).alias("size"), band.alias("band")))
         rows = self.scratch.write(rows, "incidence")
-        matrix = (rows.groupBy("token", F.col("g").alias("to")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("size").alias("to_size")))
+        matrix = (rows.groupBy("token", F.col("g").alias("to"), F.col("band").alias("to_band")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("size").alias("to_size")))
         # The vertex of the smaller group asks.
         asks = (F.col("size") < F.col("to_size")) | ((F.col("size") == F.col("to_size")) & (F.col("g") < F.col("to")))
         fits = (100 * F.col("n") >= NEED * F.col("least")) & (100 * F.col("most") >= NEED * F.col("n"))
         overlap = (rows.join(matrix, "token").where(asks & fits)
-                   .groupBy("key", "to").agg(F.count(F.lit(1)).alias("overlap"), F.first("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")))
+                   .groupBy("key", "to", "to_band").agg(F.count(F.lit(1)).alias("overlap"), F.first("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")))
         n, share = F.col("n"), NEED / (100 + NEED)
         low = F.greatest("least", F.ceil(n * (NEED / 100)))
         high = F.least("most", F.floor(n * (100 / NEED)))
-        # Common prefix tokens that a link needs; 3 less, for the roundings.
-        need = F.least(share * (n + low) - n * (NEED / 100), share * (n + high) - high * (NEED / 100)) - 2
-        opened = overlap.where(F.col("overlap") >= need).select("key", "n", "to")
-        members = rows.select(F.col("g").alias("to"), F.col("key").alias("b"), F.col("n").alias("nb")).distinct()
+        # Common prefix tokens that a link needs: its overlap less what follows
+        # either prefix.  Both forms are linear in the member's size.
+        need = F.least(share * (n + low) - n * (NEED / 100), share * (n + high) - high * (NEED / 100)) - 1e-6
+        opened = overlap.where(F.col("overlap") >= need).select("key", "n", "to", "to_band")
+        members = rows.select(F.col("g").alias("to"), F.col("band").alias("to_band"), F.col("key").alias("b"), F.col("n").alias("nb")).distinct()
         sized = (100 * F.col("nb") >= NEED * F.col("n")) & (100 * F.col("n") >= NEED * F.col("nb"))
-        return opened.join(members, "to").where(sized).select(F.col("key").alias("a"), F.col("n").alias("na"), "b")
+        return opened.join(members, ["to", "to_band"]).where(sized).select(F.col("key").alias("a"), F.col("n").alias("na"), "b")
 
     def _decided(self, pairs: DataFrame, name: str) -> DataFrame:
         """The links among pairs (a, na, b)."""
