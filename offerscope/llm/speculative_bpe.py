@@ -26,7 +26,7 @@ from .encode import _byte_words
 
 # The byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000   # about 120 MB a worker
 NEVER = np.int64(1) << 40
 
 
@@ -56,19 +56,22 @@ class SpeculativeBPE:
         self.special_at = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pattern = regex.compile(PATTERN)
         self.single = [vocab[bytes([b])] for b in range(256)]
-        self.merge: dict[tuple[int, int], tuple[int, int]] = {}
+        self.single_ids = np.asarray(self.single, np.int64)
+        merge: dict[tuple[int, int], int] = {}
+        self.whole_ids = np.empty(len(model["merges"]), np.int64)
         left, right = np.full(size, -1), np.full(size, -1)
         made = np.full(size, -1, np.int64)
         for rank, m in enumerate(model["merges"]):
             a, b = (vocab[bytes(letters[c] for c in part)] for part in (m if isinstance(m, list) else m.split(" ")))
             whole = vocab[self.bytes_of[a] + self.bytes_of[b]]
-            self.merge[a, b] = rank, whole
+            merge[a, b] = rank
+            self.whole_ids[rank] = whole
             if made[whole] < 0:
                 made[whole], left[whole], right[whole] = rank, a, b
-        keys = np.fromiter((a << 32 | b for a, b in self.merge), np.int64, len(self.merge))
+        keys = np.fromiter((a << 32 | b for a, b in merge), np.int64, len(merge))
         order = np.argsort(keys)
         self.pair_keys = keys[order]
-        self.pair_ranks = np.fromiter((r for r, _ in self.merge.values()), np.int64, len(keys))[order]
+        self.pair_ranks = np.fromiter(merge.values(), np.int64, len(keys))[order]
         self.right_spine = self._spine(right, made)
         self.left_spine = self._spine(left, made)
         # A token is stable if its halves are and no merge between them comes before its own.
@@ -110,33 +113,62 @@ class SpeculativeBPE:
                 rows = rows[(left[b[rows]] >= 0) & fine[rows]]
                 if not len(rows):
                     break
-                keys = right[a[rows]] << 32 | left[b[rows]]
-                at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-                rank = np.where(self.pair_keys[at] == keys, self.pair_ranks[at], NEVER)
+                rank = self._rank(right[a[rows]], left[b[rows]])
                 re, le = right_end[a[rows]], left_end[b[rows]]
                 if before is not None:
                     re, le = np.minimum(re, before[rows]), np.minimum(le, before[rows] - 1)
                 fine[rows[(rank < re) & (rank <= le) & (rank < NEVER)]] = False
         return fine
 
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of the merges of adjacent pairs; ``NEVER`` without one."""
+        keys = a << 32 | b
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], NEVER)
+
     def exact(self, word: bytes) -> list[int]:
-        """Merging by rank, leftmost first."""
-        ids = [self.single[b] for b in word]
-        while len(ids) > 1:
-            ranks = [self.merge.get(p, (NEVER, 0)) for p in zip(ids, ids[1:])]
-            rank, whole = min(ranks, key=lambda r: r[0])
-            if rank == NEVER:
-                break
-            out, i = [], 0
-            while i < len(ids):
-                if i < len(ranks) and ranks[i][0] == rank:
-                    out.append(whole)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return ids
+        return self.exact_all([word])[0]
+
+    def exact_all(self, words: list[bytes]) -> list[list[int]]:
+        """Merging by rank, leftmost first, of many words at once: each round
+        applies every word's lowest merge wherever it occurs in the word."""
+        out: list[list[int]] = [[] for _ in words]
+        owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        ids = self.single_ids[np.frombuffer(b"".join(words), np.uint8)]
+        # rank[i]: of the pair of places i and i + 1; NEVER at a word's end.
+        rank = np.full(len(ids), NEVER)
+        inner = np.flatnonzero(owner[1:] == owner[:-1])
+        rank[inner] = self._rank(ids[inner], ids[inner + 1])
+        while len(ids):
+            starts = np.flatnonzero(np.diff(owner, prepend=-1))
+            lengths = np.diff(starts, append=len(ids))
+            best = np.minimum.reduceat(rank, starts)
+            done = best == NEVER
+            if done.any():
+                ends = starts + lengths
+                for k, i, j in zip(owner[starts[done]].tolist(), starts[done].tolist(), ends[done].tolist()):
+                    out[k] = ids[i:j].tolist()
+                left = np.repeat(~done, lengths)
+                ids, owner, rank = ids[left], owner[left], rank[left]
+                best, lengths = best[~done], lengths[~done]
+                if not len(ids):
+                    break
+            hits = np.flatnonzero(rank == np.repeat(best, lengths))
+            # Of hits side by side (one token repeated) every other one counts.
+            first = np.diff(hits, prepend=-2) != 1
+            hits = hits[(hits - np.maximum.accumulate(np.where(first, hits, 0))) % 2 == 0]
+            ids[hits] = self.whole_ids[rank[hits]]
+            rank[hits] = rank[hits + 1]     # the merged place ends where its right half did
+            keep = np.ones(len(ids), bool)
+            keep[hits + 1] = False
+            at = np.cumsum(keep)[hits] - 1
+            ids, owner, rank = ids[keep], owner[keep], rank[keep]
+            # Pairs with a merged place on either side are new.
+            at = np.union1d(at, at[at > 0] - 1)
+            at = at[at + 1 < len(ids)]
+            at = at[owner[at] == owner[at + 1]]
+            rank[at] = self._rank(ids[at], ids[at + 1])
+        return out
 
     def propose(self, word: bytes) -> list[int]:
         ids, at, end, vocab = [], 0, len(word), self.greedy
@@ -158,8 +190,8 @@ class SpeculativeBPE:
         keys, back = np.unique((flat[:-1] << 32 | flat[1:])[inside], return_inverse=True)
         fine = self._agree(keys >> 32, keys & 0xFFFFFFFF)
         failed = np.unique(owner[:-1][inside][~fine[back]]) if len(flat) else []
-        for k in failed:
-            proposed[k] = self.exact(words[k])
+        for k, ids in zip(failed, self.exact_all([words[k] for k in failed])):
+            proposed[k] = ids
         return proposed, len(failed)
 
     def _learn(self, pieces: set[str]) -> None:
