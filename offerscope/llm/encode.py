@@ -96,7 +96,7 @@ class WordEncoder:
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         cache = self.cache
-        new = list(set().union(*[w for w in split if w]) - cache.keys())
+        new = [w for w in set().union(*[w for w in split if w]) if w not in cache]
         self._learn(new)
         whole = iter(self._library([t for t, w in zip(texts, split) if w is None]))
         return [next(whole) if w is None else b"".join(map(cache.__getitem__, w)) for w in split]

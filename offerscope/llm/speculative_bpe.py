@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from itertools import chain
 
 import numpy as np
 import regex
@@ -81,11 +82,16 @@ class SpeculativeBPE:
         for t, ok in sorted(zip(merged.tolist(), own.tolist()), key=lambda x: made[x[0]]):
             stable[t] = ok and stable[left[t]] and stable[right[t]]
         self.greedy = {token: i for token, i in vocab.items() if stable[i]}
-        self.longest = max(map(len, self.greedy))
+        # Length of the longest token by its first four bytes; shorter ones need no entry.
+        self.reach: dict[bytes, int] = {}
+        for token in self.greedy:
+            if len(token) > 3:
+                self.reach[token[:4]] = max(len(token), self.reach.get(token[:4], 0))
         self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.lengths = np.fromiter(map(len, self.bytes_of), np.int64, size)
         self.offsets = np.cumsum(self.lengths) - self.lengths
-        self.cache: dict[str, tuple[bytes, bytes]] = {}
+        self.decimals = list(map(str, range(size)))
+        self.cache: dict[str | int, bytes] = {}
 
     @staticmethod
     def _spine(part: np.ndarray, made: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -171,9 +177,9 @@ class SpeculativeBPE:
         return out
 
     def propose(self, word: bytes) -> list[int]:
-        ids, at, end, vocab = [], 0, len(word), self.greedy
+        ids, at, end, vocab, reach = [], 0, len(word), self.greedy, self.reach
         while at < end:
-            stop = min(end, at + self.longest)
+            stop = min(end, at + reach.get(word[at:at + 4], 3))
             while (t := vocab.get(word[at:stop])) is None:
                 stop -= 1
             ids.append(t)
@@ -194,15 +200,16 @@ class SpeculativeBPE:
             proposed[k] = ids
         return proposed, len(failed)
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Put pieces (whole words, maybe several) in the cache."""
-        new = [p for p in pieces if p not in self.cache]
-        parts = [[w.encode() for w in self.pattern.findall(p)] for p in new]
-        distinct = list({w for ws in parts for w in ws})
-        ids = dict(zip(distinct, self.words(distinct)[0]))
+    def _learn(self, new: list[str | int]) -> None:
+        """Put pieces (whole words, maybe several, or a special token's id) in the cache."""
+        parts = [self.pattern.findall(p) if isinstance(p, str) else () for p in new]
+        distinct = list(set().union(*parts))
+        rows = self.words([w.encode() for w in distinct])[0]
+        ends = np.cumsum([4 * len(r) for r in rows]).tolist()
+        raw = np.fromiter(chain.from_iterable(rows), "<u4").tobytes()
+        ids = {w: raw[i:j] for w, i, j in zip(distinct, [0, *ends], ends)}
         for p, ws in zip(new, parts):
-            row = [t for w in ws for t in ids[w]]
-            self.cache[p] = np.asarray(row, "<u4").tobytes(), ",".join(map(str, row)).encode()
+            self.cache[p] = b"".join([ids[w] for w in ws]) if isinstance(p, str) else np.asarray([p], "<u4").tobytes()
 
     def _pieces(self, text: str) -> list[str | int]:
         """Pieces between which no word reaches, and special tokens' ids."""
@@ -221,13 +228,14 @@ class SpeculativeBPE:
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bytes]]:
         """(ids, decimal ids joined by commas) of each text."""
         pieces = [self._pieces(t) for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        self._learn({p for ps in pieces for p in ps if isinstance(p, str)} - self.cache.keys())
+        cache = self.cache
+        if len(cache) > CACHE_WORDS:
+            cache.clear()
+        self._learn([p for p in set().union(*pieces) if p not in cache])
         out = []
         for ps in pieces:
-            rows = [self.cache[p] if isinstance(p, str) else (np.asarray([p], "<u4").tobytes(), str(p).encode()) for p in ps]
-            out.append((np.frombuffer(b"".join([r[0] for r in rows]), "<u4"), b",".join([r[1] for r in rows if r[1]])))
+            ids = np.frombuffer(b"".join(map(cache.__getitem__, ps)), "<u4")
+            out.append((ids, ",".join(map(self.decimals.__getitem__, ids.tolist())).encode()))
         return out
 
     def decode(self, ids: np.ndarray) -> str:
