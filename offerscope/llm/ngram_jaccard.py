@@ -13,8 +13,8 @@ prefix, so only prefixes are indexed.
 2. Matrix: each group's union of prefix tokens, as (token, group) rows.  A
    vertex queries the groups that share a token with it; the number of its
    prefix tokens in a group's union bounds its overlap with every member, and
-   only groups that pass are opened.  Members of one group are never compared
-   with each other again.
+   only groups that pass are opened, in blocks of members.  Members of one
+   group are never compared with each other again.
 3. Pairs from both steps go through parity bitmaps (the bits in which two
    bitmaps differ are at most the sets' difference, an exact bound) and are
    then decided on the whole sets.
@@ -37,6 +37,7 @@ NEED = 75               # 100 * intersection >= NEED * union; prefixes and bound
 CELLS = 1 << 16         # of the count sketch; a fixed size
 BLOOM = 1 << 24         # bits that mark documents whose sets are read again; a fixed size
 BAND = 1.1              # ratio of the set sizes of a band
+BLOCK = 32              # members of a group tested together, on average
 SEEN = 200_000          # vertices a task remembers, to emit copies once
 
 
@@ -134,6 +135,34 @@ def _bounded(batches):
         yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in fine], pa.int64()), pa.array([f[1] for f in fine], pa.int64())], names=["a", "b"])
 
 
+def _fold(bits: np.ndarray, width: int) -> np.ndarray:
+    while bits.shape[-1] > width:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+def _bounded_blocks(batches):
+    """Pairs (a, b) of queries (a, na, x) and the members (b, nb, y) of a block
+    that sizes and bitmaps allow; a block's bitmaps are tested at once."""
+    import pyarrow as pa
+    for batch in batches:
+        left, right = [], []
+        for a, na, x, block in zip(*[c.to_pylist() for c in batch.columns]):
+            x = np.frombuffer(x, np.uint8)
+            for width in {len(m["y"]) for m in block}:
+                same = [m for m in block if len(m["y"]) == width]
+                nb = np.asarray([m["nb"] for m in same])
+                y = np.frombuffer(b"".join(m["y"] for m in same), np.uint8).reshape(len(same), width)
+                narrow = min(width, len(x))
+                differ = np.bitwise_count(_fold(y, narrow) ^ _fold(x, narrow)).sum(axis=1, dtype=np.int64)
+                least = -(-NEED * (na + nb) // (100 + NEED))
+                fine = (100 * nb >= NEED * na) & (100 * na >= NEED * nb) & (differ <= na + nb - 2 * least)
+                right += [same[i]["b"] for i in np.flatnonzero(fine)]
+            left += [a] * (len(right) - len(left))
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+
 def _sets_of(batches, bloom: np.ndarray):
     import pyarrow as pa
     for batch in batches:
@@ -174,9 +203,9 @@ class JaccardJoin:
         # A null doc_id is no vertex of its own, but its set counts like any.
         self.vertices = write(found.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "vertices")
         shared = self._shared(rarity_classes(cells))
-        stars = write(self._decided(self._stars(shared), "stars"), "star-links")
+        stars = write(self._decided(write(self._bounded(self._stars(shared)), "stars-pairs"), "stars"), "star-links")
         groups = components(stars, self.scratch, "groups")
-        more = write(self._decided(self._opened(shared, groups), "opened"), "group-links")
+        more = write(self._decided(write(self._opened(shared, groups), "opened-pairs"), "opened"), "group-links")
         self.links = stars.unionByName(more)
         roots = components(self.links, self.scratch, "components")
         member = self.vertices.select("key", "rep").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -201,7 +230,9 @@ class JaccardJoin:
                 .where("a <> b").distinct())
 
     def _opened(self, shared: DataFrame, groups: DataFrame) -> DataFrame:
-        """(a, na, b): queries and the members of the groups they open."""
+        """(a, b): queries and members of the groups they open, as far as the
+        bitmaps allow a link.  A group is opened in blocks of about ``BLOCK``
+        members, so no row stands for one pair before its bitmaps are tested."""
         # A group's union is kept by size band: the bound needs the members'
         # sizes, and a wide range of them would make it weak.
         band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(BAND))).cast("int")
@@ -215,25 +246,33 @@ class JaccardJoin:
         asks = (F.col("size") < F.col("to_size")) | ((F.col("size") == F.col("to_size")) & (F.col("g") < F.col("to")))
         fits = (100 * F.col("n") >= NEED * F.col("least")) & (100 * F.col("most") >= NEED * F.col("n"))
         overlap = (rows.join(matrix, "token").where(asks & fits)
-                   .groupBy("key", "to", "to_band").agg(F.count(F.lit(1)).alias("overlap"), F.first("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")))
+                   .groupBy("key", "to", "to_band").agg(F.count(F.lit(1)).alias("overlap"), F.first("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"), F.max("to_size").alias("to_size")))
         n, share = F.col("n"), NEED / (100 + NEED)
         low = F.greatest("least", F.ceil(n * (NEED / 100)))
         high = F.least("most", F.floor(n * (100 / NEED)))
         # Common prefix tokens that a link needs: its overlap less what follows
         # either prefix.  Both forms are linear in the member's size.
         need = F.least(share * (n + low) - n * (NEED / 100), share * (n + high) - high * (NEED / 100)) - 1e-6
-        opened = overlap.where(F.col("overlap") >= need).select("key", "n", "to", "to_band")
-        members = rows.select(F.col("g").alias("to"), F.col("band").alias("to_band"), F.col("key").alias("b"), F.col("n").alias("nb")).distinct()
-        sized = (100 * F.col("nb") >= NEED * F.col("n")) & (100 * F.col("n") >= NEED * F.col("nb"))
-        return opened.join(members, ["to", "to_band"]).where(sized).select(F.col("key").alias("a"), F.col("n").alias("na"), "b")
-
-    def _decided(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The links among pairs (a, na, b)."""
+        blocks = lambda size: F.ceil(F.col(size) / BLOCK)
+        opened = (overlap.where(F.col("overlap") >= need)
+                  .select(F.col("key").alias("a"), F.col("n").alias("na"), "to", "to_band", F.explode(F.sequence(F.lit(0).cast("long"), blocks("to_size") - 1)).alias("block")))
+        bits = self.vertices.select("key", "bits")
+        members = (rows.select("g", "band", "key", "n", "size").distinct().join(bits, "key")
+                   .groupBy(F.col("g").alias("to"), F.col("band").alias("to_band"), F.pmod(F.xxhash64("key"), blocks("size")).alias("block"))
+                   .agg(F.collect_list(F.struct(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y"))).alias("members")))
+        asked = opened.join(bits.select(F.col("key").alias("a"), F.col("bits").alias("x")), "a").join(members, ["to", "to_band", "block"])
+        return asked.select("a", "na", "x", "members").mapInArrow(_bounded_blocks, "a long, b long")
+
+    def _bounded(self, pairs: DataFrame) -> DataFrame:
+        """Those of pairs (a, na, b) whose sizes and bitmaps allow a link."""
         bits = self.vertices.select("key", "n", "bits")
         right = bits.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y"))
         sized = (100 * F.col("nb") >= NEED * F.col("na")) & (100 * F.col("na") >= NEED * F.col("nb"))
         both = pairs.join(right, "b").where(sized).join(bits.select(F.col("key").alias("a"), F.col("bits").alias("x")), "a")
-        kept = self.scratch.write(both.select("a", "na", "x", "b", "nb", "y").mapInArrow(_bounded, "a long, b long"), f"{name}-pairs")
+        return both.select("a", "na", "x", "b", "nb", "y").mapInArrow(_bounded, "a long, b long")
+
+    def _decided(self, kept: DataFrame, name: str) -> DataFrame:
+        """The links among pairs (a, b), on whole sets."""
         wanted = kept.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         cell = F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM))
         marked = (self.vertices.select("key", F.col("rep").alias("doc_id")).join(wanted, "key").select(cell.alias("cell"))
