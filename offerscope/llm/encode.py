@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
 CACHE_WORDS = 800_000    # about 150 MB a worker
 MARKS = ".,!?;:"
@@ -37,6 +38,17 @@ def _plain_words(text: str) -> list[str] | None:
     return None if _ODD_BLANK.search(text) else text.split()
 
 
+class _WordIds(dict):
+    """Ids of words; a word not yet known is encoded when it is looked up."""
+
+    def __init__(self, find):
+        self.find = find
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.find(word)
+        return ids
+
+
 class WordEncoder:
     """``encode(texts)`` gives each text's ids as little-endian uint32 bytes,
     equal to the library's ``encode(text, add_special_tokens=False).ids``."""
@@ -50,10 +62,11 @@ class WordEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.byte_level = self.tokenizer.normalizer is None
         self.words = _byte_words if self.byte_level else _plain_words
-        self.cache: dict[str, bytes] = {}
+        self.cache = _WordIds(self._word)
         self.model = self.tokenizer.model
         from .speculative_bpe import byte_letters
         self.letters = {b: c for c, b in byte_letters().items()}
+        self.space = self.letters[ord(" ")]
 
     def _library(self, texts: list[str]) -> list[bytes]:
         import numpy as np
@@ -73,33 +86,33 @@ class WordEncoder:
 
     def _letters(self, stem: str) -> bytes:
         """Ids of one pre-token of letters, from the library's BPE model."""
-        import numpy as np
         text = stem if self.byte_level else stem.lower()
-        return np.asarray([t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
-
-    def _learn(self, new: list[str]) -> None:
-        cache, rest = self.cache, []
-        for word in new:
-            parts = self._parts(word)
-            if parts is None:
-                rest.append(word)
-                continue
-            for p in parts:
-                if p not in cache:
-                    cache[p] = self._library([p])[0] if p == "\n" or p in MARKS else self._letters(p)
-            if len(parts) > 1:
-                cache[word] = b"".join([cache[p] for p in parts])
-        cache.update(zip(rest, self._library(rest)))
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(self.letters)
+        elif text[0] == " ":
+            text = self.space + text[1:]
+        ids = [t.id for t in self.model.tokenize(text)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: str) -> bytes:
+        core = word[1:] if self.byte_level and word[:1] == " " else word
+        if core.isascii():
+            if core.isalpha():
+                return self._letters(word)
+            if core[-1:] in MARKS and core[:-1].isalpha():
+                return self.cache[word[:-1]] + self.cache[core[-1]]
+        parts = self._parts(word)
+        if parts is None:
+            return self._library([word])[0]
+        return self._letters(word) if len(parts) == 1 else b"".join([self.cache[p] for p in parts])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [None if any(s in t for s in self.special) else self.words(t) for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        cache = self.cache
-        new = [w for w in set().union(*[w for w in split if w]) if w not in cache]
-        self._learn(new)
+        known = self.cache.__getitem__
         whole = iter(self._library([t for t, w in zip(texts, split) if w is None]))
-        return [next(whole) if w is None else b"".join(map(cache.__getitem__, w)) for w in split]
+        return [next(whole) if w is None else b"".join(map(known, w)) for w in split]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

@@ -37,15 +37,15 @@ CLAUSE_ENDS = (",", ";", ":")
 def cut_points(ends: np.ndarray, sentences: np.ndarray, clauses: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and their costs: 0, document ``ends``, ``sentences``, ``clauses``
     and, in gaps wider than a window, one place a window."""
-    soft = np.union1d(np.union1d(ends, sentences), clauses)
-    wide = np.flatnonzero(np.diff(soft, prepend=0) > window)
-    hard = [np.arange((soft[w - 1] if w else 0) + window, soft[w], window) for w in wide]
-    places = np.unique(np.concatenate([[0], soft, *hard])).astype(np.int64)
-    cost = np.full(len(places), HARD_CUT)
-    cost[np.isin(places, clauses)] = CLAUSE_CUT
-    cost[np.isin(places, sentences)] = SENTENCE_CUT
-    cost[np.isin(places, ends)] = 0.0
-    return places, cost
+    price = np.full(1 + max([0, *[int(x[-1]) for x in (ends, sentences, clauses) if len(x)]]), np.inf)
+    for at, cost in ((clauses, CLAUSE_CUT), (sentences, SENTENCE_CUT), (ends, 0.0)):
+        price[at] = cost
+    price[0] = 0.0
+    soft = np.flatnonzero(price < np.inf)
+    for w in np.flatnonzero(np.diff(soft) > window):
+        price[soft[w] + window:soft[w + 1]:window] = HARD_CUT
+    places = np.flatnonzero(price < np.inf)
+    return places, price[places]
 
 
 def best_cuts(places: np.ndarray, cost: np.ndarray, window: int) -> list[int]:
