@@ -11,6 +11,7 @@ string goes to the library whole.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
@@ -107,6 +108,16 @@ class WordEncoder:
         return self._letters(word) if len(parts) == 1 else b"".join([self.cache[p] for p in parts])
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        # The library's tokens form no cycles, but their number sets off many collections.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         split = [None if any(s in t for s in self.special) else self.words(t) for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
