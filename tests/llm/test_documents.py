@@ -137,6 +137,26 @@ def test_line_dedup_odd_rows(odd_docs, no_docs):
     assert line_dedup.dedup(no_docs).count() == 0
 
 
+def test_line_dedup_keeps_row_ids_when_the_scan_is_cut_anew(spark, tmp_path):
+    rows = [(d, f"own line of document {d} with more than ten words in it here\n" + (PASSAGE if d % 3 == 0 else f"tail {d}")) for d in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8, "doc_id").write.parquet(path := str(tmp_path / "documents"))
+    sizes = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in sizes:
+            spark.conf.set(k, "1")
+        out = line_dedup.dedup(spark.read.parquet(path))
+        before = spark.read.parquet(path).rdd.getNumPartitions()
+        for k in sizes:
+            spark.conf.set(k, "1g")
+        assert spark.read.parquet(path).rdd.getNumPartitions() != before
+        got = {r["doc_id"]: r["text"] for r in out.collect()}
+    finally:
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
+    gone = brute_lines(rows, line_dedup.MIN_WORDS)
+    assert got == {d: "\n".join(x for p, x in enumerate(t.split("\n")) if (d, p) not in gone) for d, t in rows}
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 
