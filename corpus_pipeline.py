@@ -25,9 +25,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later copies of repeated line runs; a document of which no word
-    is left was a copy throughout and goes."""
-    done = line_dedup.dedup(docs)
+    """Deletes later copies of repeated lines and line runs, however short; a
+    document of which no word is left was a copy throughout and goes."""
+    done = line_dedup.dedup(docs, min_words=1)
     return done.where("n_deleted = 0 OR n_deleted < n_lines").withColumn("n_chars", F.char_length("text").cast("long")).select(*DOC_COLUMNS)
 
 

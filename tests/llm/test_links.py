@@ -158,6 +158,14 @@ def test_pipeline_stages(spark, docs, no_docs):
         assert stage(spark, empty, SF).count() == 0
 
 
+def test_line_dedup_stage_leaves_no_copy(spark):
+    import corpus_pipeline as cp
+    texts = ["a short line of only eight words stands\nfirst", "own\na short line of only eight words stands\n", "own\nfirst\nfirst\nlast", "first\n\nown"]
+    frame = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in cp.remove_repeated_lines(spark, frame, SF).collect()}
+    assert got == {0: (texts[0], len(texts[0])), 1: ("own\n", 4), 2: ("last", 4)}
+
+
 def test_near_duplicate_stage_keeps_one(spark):
     import corpus_pipeline as cp
     rows = [(3, PASSAGE, None, None, 1), (1, PASSAGE + " more", None, None, 1), (2, PASSAGE, None, None, 1), (2, PASSAGE, None, None, 1), (4, "", None, None, 0), (None, "", None, None, 0)]
