@@ -4,7 +4,9 @@ A text is a normalised TF-IDF vector of its hashed character n-grams (one to
 three characters of lower-cased letters; anything else is one gap).  Each
 language has several centroids, from spherical k-means on a bounded sample of
 labelled rows; a text gets the language of the centroid of highest cosine and
-is rejected if that cosine is under the centroid's own floor.
+is rejected if that cosine is under the centroid's own floor.  Floors follow
+from the cosines of the centroid's rows and from labelled rows that the
+centroids have not seen.
 """
 
 from __future__ import annotations
@@ -17,13 +19,17 @@ from pyspark.sql import functions as F
 
 from .common import python_stages
 
-DIMENSIONS = 4096
+BITS = 14
+DIMENSIONS = 1 << BITS
 CENTROIDS = 3           # a language
 SAMPLE = 300            # expected labelled rows a language for the centroids
 SLICE = 1 << 20         # characters hashed at once
-# Rejected: cosine under FLOOR times the least cosine of the centroid's own
-# training rows (never over FLOOR_MOST).
-FLOOR, FLOOR_MOST = 0.5, 0.15
+# A centroid's floor is the LOW quantile of the cosines of its own rows, times a
+# share that goes by the text's number of distinct n-grams (texts of few have
+# low cosines): MARGIN times the greatest by which all rows of the sample stay
+# that have as many, each scored by centroids of the other FOLDS - 1 folds.
+LOW, MARGIN, FOLDS = 0.05, 0.85, 4
+LEAST_OWN = 5           # rows of a centroid, unless the language has no other
 UNKNOWN = "und"
 
 _LETTERS: list[np.ndarray] = []
@@ -49,7 +55,7 @@ def counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         for at in range(0, max(1, len(c)), SLICE):
             group.append((k, c[max(0, at - 2):at + SLICE]))
             size += len(group[-1][1])
-            if size >= SLICE or len(group) >= 256:
+            if size >= SLICE or len(group) >= 64:
                 _count(group, out, has)
                 group, size = [], 0
     if group:
@@ -74,7 +80,7 @@ def _count(group: list[tuple[int, np.ndarray]], out: np.ndarray, has: np.ndarray
             h = h * np.uint64(0x9E3779B97F4A7C15) + flat[i:len(flat) - n + 1 + i]
             fine |= letter[i:len(flat) - n + 1 + i]
         h = (h + np.uint64(n)) * np.uint64(0xD6E8FEB86659FD93)
-        cell = (h >> np.uint64(52)).astype(np.int64)
+        cell = (h >> np.uint64(64 - BITS)).astype(np.int64)
         ok = fine & same
         table = np.bincount(local[:len(cell)][ok] * DIMENSIONS + cell[ok], minlength=len(group) * DIMENSIONS)
         np.add.at(out, rows, table.reshape(len(group), DIMENSIONS).astype(np.float32))
@@ -86,12 +92,24 @@ def vectors(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
+def richness(tf: np.ndarray) -> np.ndarray:
+    """Class of the number of distinct n-grams, by powers of two."""
+    return np.log2(np.maximum((tf > 0).sum(1), 1)).astype(np.int64)
+
+
 @dataclass
 class LanguageModel:
     idf: np.ndarray             # DIMENSIONS
     languages: list[str]        # of each centroid
     centroids: np.ndarray       # centroids x DIMENSIONS
     floors: np.ndarray          # of each centroid
+    shares: np.ndarray          # of its floor, by richness() of the text
+
+    def nearest(self, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nearest centroid, cosine and floor of each text."""
+        cos = vectors(tf, self.idf) @ self.centroids.T
+        best = cos.argmax(1)
+        return best, np.clip(cos[np.arange(len(tf)), best], 0, 1), self.floors[best] * self.shares[richness(tf)]
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """(language, cosine, rejected); ``und``, 0 and rejected if the text is
@@ -99,20 +117,19 @@ class LanguageModel:
         tf, has = counts([t or "" for t in texts])
         if not len(self.centroids):
             return [(UNKNOWN, 0.0, True)] * len(texts)
-        cos = vectors(tf, self.idf) @ self.centroids.T
-        best = cos.argmax(1)
-        score = np.clip(cos[np.arange(len(texts)), best], 0, 1)
-        return [(self.languages[b], float(s), bool(s < self.floors[b])) if h else (UNKNOWN, 0.0, True)
-                for b, s, h in zip(best, score, has)]
+        return [(self.languages[b], float(s), bool(s < floor)) if h else (UNKNOWN, 0.0, True)
+                for b, s, floor, h in zip(*self.nearest(tf), has)]
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
-    """Spherical k-means; starts are spread out, so the result is fixed."""
-    mean = x.mean(0)
-    chosen = [int((x @ mean).argmax())]
-    while len(chosen) < min(k, len(x)):
-        chosen.append(int((x @ x[chosen].T).max(1).argmin()))
-    centres = x[chosen]
+    """Spherical k-means; starts are spread out among the half of the rows
+    nearest to the mean, so the result is fixed and no outlier is a start."""
+    near = x @ x.mean(0)
+    dense = x[np.argsort(-near, kind="stable")[:max(k, (len(x) + 1) // 2)]]
+    chosen = [0]
+    while len(chosen) < min(k, len(dense)):
+        chosen.append(int((dense @ dense[chosen].T).max(1).argmin()))
+    centres = dense[chosen]
     for _ in range(rounds):
         owner = (x @ centres.T).argmax(1)
         new = np.stack([x[owner == j].mean(0) if (owner == j).any() else centres[j] for j in range(len(centres))])
@@ -132,11 +149,24 @@ def _document_frequency(batches):
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMENSIONS)), pa.array(total)], names=["dim", "df"])
 
 
+def _packed(tf: np.ndarray) -> bytes:
+    at = np.flatnonzero(tf)
+    return at.astype(np.float32).tobytes() + tf[at].astype(np.float32).tobytes()
+
+
+def _unpacked(rows: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(rows), DIMENSIONS), np.float32)
+    for k, row in enumerate(rows):
+        at, n = np.frombuffer(row, np.float32).reshape(2, -1)
+        out[k, at.astype(np.int64)] = n
+    return out
+
+
 def _count_rows(batches):
     import pyarrow as pa
     for batch in batches:
         tf, has = counts(batch.column(1).to_pylist())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.astype(np.float32).tobytes() for t in tf], pa.binary()),
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_packed(t) for t in tf], pa.binary()),
                                           pa.array(has)], names=["lang", "tf", "has"])
 
 
@@ -150,30 +180,54 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     rows = labelled.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return LanguageModel(np.ones(DIMENSIONS, np.float32), [], np.zeros((0, DIMENSIONS), np.float32), np.zeros(0))
+        return fit({}, np.ones(DIMENSIONS, np.float32))
     df = np.zeros(DIMENSIONS)
     for r in rows.select("text").mapInArrow(_document_frequency, "dim long, df long").groupBy("dim").agg(F.sum("df").alias("df")).collect():
         df[r["dim"]] = r["df"]
     idf = (np.log((1 + sum(sizes.values())) / (1 + df)) + 1).astype(np.float32)
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample / n))])
     drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * float(1 << 30))
-    found: dict[str, list[np.ndarray]] = {}
+    found: dict[str, set[bytes]] = {}
     for r in drawn.select("lang", "text").mapInArrow(_count_rows, "lang string, tf binary, has boolean").where("has").select("lang", "tf").toLocalIterator():
         # A hash that many copies share could exceed the expected size.
-        if len(found.setdefault(r["lang"], [])) < 4 * sample:
-            found[r["lang"]].append(np.frombuffer(r["tf"], np.float32))
+        if len(found.setdefault(r["lang"], set())) < 4 * sample:
+            found[r["lang"]].add(bytes(r["tf"]))
+    return fit({lang: sorted(rows) for lang, rows in found.items()}, idf)
+
+
+def _centroids(found: dict[str, list[bytes]], idf: np.ndarray, fold: int | None = None) -> LanguageModel:
+    """Centroids and their floors at share 1, without the rows of ``fold``."""
     languages, centroids, floors = [], [], []
     for lang in sorted(found):
-        x = vectors(np.unique(np.stack(found[lang]), axis=0), idf)
+        x = vectors(_unpacked([r for k, r in enumerate(found[lang]) if k % FOLDS != fold] or found[lang]), idf)
         centres = k_means(x, CENTROIDS)
+        n = np.bincount((x @ centres.T).argmax(1), minlength=len(centres))
+        centres = centres[n >= min(LEAST_OWN, n.max())]
         cos = x @ centres.T
         owner = cos.argmax(1)
         for j, c in enumerate(centres):
             own = cos[owner == j, j]
             languages.append(lang)
             centroids.append(c)
-            floors.append(min(FLOOR_MOST, FLOOR * float(own.min())) if len(own) else FLOOR_MOST)
-    return LanguageModel(idf, languages, np.stack(centroids).astype(np.float32) if centroids else np.zeros((0, DIMENSIONS), np.float32), np.asarray(floors))
+            floors.append(float(np.quantile(own if len(own) else cos.max(1), LOW)))
+    return LanguageModel(idf, languages, np.asarray(centroids, np.float32).reshape(-1, DIMENSIONS), np.asarray(floors), np.ones(BITS + 1))
+
+
+def fit(found: dict[str, list[bytes]], idf: np.ndarray) -> LanguageModel:
+    """Model from the packed counts of each language's rows.  Every row is
+    scored once by centroids that have not seen it; the shares let all stay."""
+    shares = np.full(BITS + 1, MARGIN)
+    for fold in range(FOLDS):
+        unseen = _centroids(found, idf, fold)
+        for rows in found.values():
+            if len(rows) > fold:
+                tf = _unpacked(rows[fold::FOLDS])
+                _, score, floor = unseen.nearest(tf)
+                np.minimum.at(shares, richness(tf), MARGIN * score / np.maximum(floor, 1e-9))
+    model = _centroids(found, idf)
+    # Not over the share of richer texts.
+    model.shares = np.minimum.accumulate(shares[::-1])[::-1]
+    return model
 
 
 def _predicted(batches, model: LanguageModel):

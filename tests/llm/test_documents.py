@@ -232,6 +232,30 @@ def test_language_held_out(spark, docs, odd_docs, no_docs):
     assert {r["lang_pred"] for r in language.identify(docs, nothing).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("left_out", [None, "de", "es", "fr"])
+def test_language_rejects_unlearned_texts(left_out):
+    rows = duckdb.sql("SELECT doc_id, text, lang FROM read_parquet('/root/testdata/sf0.01/documents.parquet') WHERE text IS NOT NULL AND lang IS NOT NULL ORDER BY doc_id").fetchall()
+    tf, has = language.counts([r[1] for r in rows])
+    idf = (np.log((1 + len(rows)) / (1 + (tf > 0).sum(0))) + 1).astype(np.float32)
+    held = np.array([zlib.crc32(str(r[0]).encode()) % 4 == 2 for r in rows])
+    known = np.array([r[2] != left_out for r in rows])
+    found = {}
+    for k in np.flatnonzero(has & known & ~held):
+        if len(found.setdefault(rows[k][2], set())) < language.SAMPLE:
+            found[rows[k][2]].add(language._packed(tf[k]))
+    model = language.fit({lang: sorted(x) for lang, x in found.items()}, idf)
+    rejected = np.array([x[2] for x in model.predict([r[1] for r in rows])])
+    assert rejected[held & known & has].mean() <= 0.01
+    assert not (~known).any() or rejected[~known].mean() >= 0.9
+    rng = np.random.default_rng(11)
+
+    def gibberish(first, n_letters, words):
+        return " ".join("".join(map(chr, rng.integers(first, first + n_letters, rng.integers(2, 9)))) for _ in range(words))
+
+    texts = [gibberish(first, n, words) for first, n in ((0x61, 26), (0x4E00, 8000), (0x430, 32)) for words in (50, 500, 5000) for _ in range(3)]
+    assert all(x[2] for x in model.predict(texts))
+
+
 def test_slices_of_long_texts_count_all(monkeypatch):
     text = "the quick brown fox " * 500
     whole, _ = language.counts([text])
