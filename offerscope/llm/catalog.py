@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators and of the pipeline."""
+"""Registered queries of the operators."""
 
 from __future__ import annotations
 
@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_links, fingerprint, language, line_dedup, ngram_jaccard, packing, pii, speculative_bpe, token_files, url_filter
+from . import (alignment, embedding_links, exact_dedup, fingerprint, language, line_dedup, ngram_jaccard, packing, pii, speculative_bpe,
+               spelling, token_files, url_filter)
 from .common import Scratch, read
 from .encode import tokenizer_path
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,9 +68,21 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.mark(read(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE), tokenizer_path(PIECE_BPE))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_ngram_jaccard, op2_pii, op3_line_dedup, op4_token_files, op5_url_filter, op6_fingerprint, op7_packing,
-                            op8_language, op9_embedding_links, op10_bpe)
+                            op8_language, op9_embedding_links, op10_bpe, op11_exact_dedup, op12_alignment, op13_spelling)
 }
 
 # Row order of the table is doc_id order; a window is the shortest run of
@@ -111,4 +125,13 @@ LEFT JOIN (SELECT doc_id, count(*) AS n FROM numbered GROUP BY doc_id) l ON l.do
 LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) d ON d.doc_id = c.doc_id
 LEFT JOIN kept k ON k.doc_id = c.doc_id
 """
-ORACLES: dict[str, str] = {"op3_line_dedup": _OP3}
+
+_OP11 = r"""
+WITH plain AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents
+), of_group AS (
+  SELECT *, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size FROM plain WINDOW same AS (PARTITION BY body)
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM of_group
+"""
+ORACLES: dict[str, str] = {"op3_line_dedup": _OP3, "op11_exact_dedup": _OP11}

@@ -307,5 +307,5 @@ def test_fingerprints_of_table(spark, docs, odd_docs, no_docs):
 
 
 def test_schema_of_queries():
-    assert {f"op{k}" for k in range(1, 11)} == {n.split("_")[0] for n in catalog.QUERIES}
+    assert {f"op{k}" for k in range(1, 14)} == {n.split("_")[0] for n in catalog.QUERIES}
     assert SCHEMA.fieldNames()[:5] == ["doc_id", "text", "lang", "source", "n_chars"]

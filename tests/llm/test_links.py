@@ -171,4 +171,4 @@ def test_near_duplicate_stage_keeps_one(spark):
     rows = [(3, PASSAGE, None, None, 1), (1, PASSAGE + " more", None, None, 1), (2, PASSAGE, None, None, 1), (2, PASSAGE, None, None, 1), (4, "", None, None, 0), (None, "", None, None, 0)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted((r["doc_id"] or 0) for r in cp.keep_one_of_each_group(spark, frame, SF).collect()) == [0, 1, 4]
-    assert catalog.ORACLES.keys() == {"op3_line_dedup"}
+    assert catalog.ORACLES.keys() == {"op3_line_dedup", "op11_exact_dedup"}
