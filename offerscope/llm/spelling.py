@@ -1,45 +1,58 @@
 """Spelling variants by a relational trie frontier.
 
 The words form a trie whose unary paths are one edge; its edges are a
-distributed table (node, first letter, label, child).  States (word, position,
-node, edits) are joined with it level by level: a state without an edit
-follows its own letters, or takes the one edit on a label; a state with one
-edit follows exact labels only.  States at a word's end with one edit are
-neighbours.
+distributed table (node, first letter, label, child, the letters that leave the
+child).  States (word, position, node, edits) are joined with it level by
+level: a state without an edit follows its own letters, or takes the one edit;
+a state with one edit follows exact labels only.  States at a word's end with
+one edit are neighbours.
 
 Two tries are walked at once, of the words and of their reversals, and the edit
 is only taken in the word's second half: of two words that differ by one edit,
-what they share at the front or at the back reaches the middle.  That keeps
-the frontier small, as few labels leave a node so deep.  The number of levels
-is that of the most branchings on one path, not the longest word's length.
+what they share at the front or at the back reaches the middle.  So words that
+differ in their first letters (half as many as the shortest word has) never
+meet in a trie: it is a forest with one root for each such beginning, and few
+labels leave a node so deep.  The number of levels is that of the most
+branchings on one path, not the longest word's length.
+
+The forest is cut from the sorted words, in ranges: each task keeps the path to
+its current word and writes an edge when it leaves it.  A path that crosses a
+border is written by both tasks, each with its own words' branchings; every
+word's path is whole in its own task, which is all that the walk needs.
 
 A node is known by a 64-bit hash of its letters; pairs found are compared
 again, so equal hashes cost time, not correctness."""
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import Scratch, python_stages, text_or_empty
-from .shingles import mix
 
 EVERY = 199          # a run whose checksum it divides loses a letter
 LEAST_LETTERS = 6
 LEAST_COUNT = 5
 FACTOR = 5           # a form is this many times as frequent
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_P = 0x9E3779B97F4A7C15 | 1
-_P_INVERSE = pow(_P, -1, 1 << 64)
+_END = "$"           # among the letters that leave a node: a word ends there
+EDGES = 1 << 14      # edges of one batch
+
+
+def _lower() -> Column:
+    """A-Z lower-cased.  Where no other capital letter can occur Spark's
+    ``lower`` does the same in a fraction of ``translate``'s time."""
+    text = text_or_empty()
+    return F.when(text.rlike("[À-Þ]|[^\\x00-ÿ]"), F.translate(text, _CAPITALS, _CAPITALS.lower())).otherwise(F.lower(text))
 
 
 def words(docs: DataFrame, every: int = EVERY) -> DataFrame:
     """(word, n) of all runs of letters in ``docs`` (doc_id, text; others are
     not read), A-Z lower-cased.  Null text has none, a null id counts as ''."""
-    lower = F.translate(text_or_empty(), _CAPITALS, _CAPITALS.lower())
     runs = docs.select(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":")).alias("id"),
-                       F.explode(F.regexp_extract_all(lower, F.lit("([a-zÀ-ÿ]+)"), F.lit(1))).alias("run"))
+                       F.explode(F.regexp_extract_all(_lower(), F.lit("([a-zÀ-ÿ]+)"), F.lit(1))).alias("run"))
     h = F.crc32(F.concat("id", "run").cast("binary"))
     at = (F.col("h") % F.char_length("run")).cast("int")
     less = F.concat(F.col("run").substr(F.lit(1), at), F.col("run").substr(at + 2, F.char_length("run")))
@@ -47,116 +60,157 @@ def words(docs: DataFrame, every: int = EVERY) -> DataFrame:
             .groupBy("word").agg(F.count(F.lit(1)).alias("n")))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-def prefix_nodes(texts: list[str], seed: int) -> list[np.ndarray]:
-    """Ids of all prefixes of each text, from the empty one on: hashes of
-    running polynomial sums, moved to the same power whatever their place."""
-    flat = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.uint64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((flat + np.uint64(1)) * _powers(_P, len(flat)))])
-    back = _powers(_P_INVERSE, len(flat) + 1)
-    out, at = [], 0
-    for t in texts:
-        own = (sums[at:at + len(t) + 1] - sums[at]) * back[at]
-        out.append(mix(own + np.uint64(seed)).view(np.int64))
-        at += len(t)
-    return out
+def node_id(side: int, letters: str) -> int:
+    import xxhash
+    h = xxhash.xxh3_64_intdigest(f"{side}{letters}")
+    return h - (1 << 64) if h >> 63 else h
 
 
-def _paths(batches):
+def _words(batches, begin: int) -> Iterator:
+    """Each word as both tries read it, with its root and its last node."""
     import pyarrow as pa
-    schema = pa.schema([("side", pa.int32()), ("w", pa.string()), ("path", pa.list_(pa.int64()))])
     for batch in batches:
+        n = batch.column(1).to_pylist()
         for side in (0, 1):
             texts = [t[::-1] if side else t for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"side": [side] * len(texts), "w": texts, "path": prefix_nodes(texts, side + 1)}, schema=schema)
-
-
-def trie(known: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(edges, ends) of both tries of ``known`` (word, n).  edges: node, c,
-    label, child.  ends: node, side, w, t_n."""
-    paths = scratch.write(known.select("word").mapInArrow(_paths, "side int, w string, path array<long>"), "paths")
-    steps = paths.select("side", "w", F.posexplode("path").alias("depth", "node"))
-    after = F.col("w").substr(F.col("depth") + 1, F.lit(1))
-    ends_here = F.col("depth") == F.char_length("w")
-    # A node stays if a word ends there or if its next letters differ.
-    kept = (steps.where("depth > 0").select("node", F.when(~ends_here, after).alias("c"), ends_here.alias("is_end"))
-            .groupBy("node").agg(F.max("is_end").alias("is_end"), F.min("c").alias("low"), F.max("c").alias("high"))
-            .where("is_end OR low <> high").select("node"))
-    on_path = steps.where("depth > 0").join(kept, "node").groupBy("side", "w").agg(F.sort_array(F.collect_list(F.struct("depth", "node"))).alias("nodes"))
-    root = F.when(F.col("side") == 0, F.lit(int(prefix_nodes([""], 1)[0][0]))).otherwise(F.lit(int(prefix_nodes([""], 2)[0][0])))
-    nodes = F.concat(F.array(F.struct(F.lit(0).alias("depth"), root.alias("node"))), F.col("nodes"))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("nodes") - 1), lambda i: F.struct(
-        F.get("nodes", i - 1)["node"].alias("node"), F.get("nodes", i)["node"].alias("child"),
-        F.get("nodes", i - 1)["depth"].alias("a"), F.get("nodes", i)["depth"].alias("b")))
-    edges = (on_path.select("w", nodes.alias("nodes")).select("w", F.explode(pairs).alias("e"))
-             .select("e.node", "e.child", F.col("w").substr(F.col("e.a") + 1, F.col("e.b") - F.col("e.a")).alias("label"))
-             .distinct().select("node", F.col("label").substr(1, 1).alias("c"), "label", "child"))
-    word = F.when(F.col("side") == 0, F.col("w")).otherwise(F.reverse("w"))
-    ends = (paths.select("side", "w", F.element_at("path", -1).alias("node"), word.alias("word"))
-            .join(known, "word").select("node", "side", F.col("w").alias("t"), F.col("n").alias("t_n")))
-    starts = paths.select("side", "w", F.lit(0).alias("pos"), F.col("path")[0].alias("node"), F.lit(0).alias("edits"))
-    return scratch.write(edges, "edges"), scratch.write(ends, "ends"), starts
-
-
-def _moves(rest: Column, may_edit: Column) -> Column:
-    """Where a state gets on the edge that it is joined with: positions moved
-    on and edits made."""
-    size, left = F.char_length("label"), F.char_length(rest)
+            yield pa.RecordBatch.from_pydict({"side": pa.array([side] * len(texts), pa.int32()), "w": texts, "n": n,
+                                              "root": pa.array([node_id(side, t[:begin]) for t in texts], pa.int64()),
+                                              "last": pa.array([node_id(side, t) for t in texts], pa.int64())})
+
+
+def _shared(a: str, b: str) -> int:
+    """How many first letters ``a`` and ``b`` share."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid - 1)
+    return lo
+
+
+def forest(words, begin: int) -> Iterator[tuple]:
+    """Edges (node, c, label, child, depth, next) of the words, which come
+    sorted by (side, word).  Held is the path to the last one only."""
+    side, prev, path = None, "", []       # path: [depth, letters that leave, node id], from the root on
+
+    def leave(depth: int) -> Iterator[tuple]:
+        while path[-1][0] > depth:
+            below, letters, child = path.pop()
+            if path[-1][0] < depth:
+                path.append([depth, "", node_id(side, prev[:depth])])
+            above, _, node = path[-1]
+            label = prev[above:below]
+            if label[0] not in path[-1][1]:
+                path[-1][1] += label[0]
+            yield node, label[0], label, child, above, letters
+
+    for s, w in words:
+        same = _shared(prev, w) if s == side else -1
+        if same < begin:
+            if path:
+                yield from leave(begin)
+            side, path = s, [[begin, "", node_id(s, w[:begin])]]
+        else:
+            yield from leave(same)
+        if len(w) > path[-1][0]:
+            path.append([len(w), _END, node_id(s, w)])
+        else:
+            path[-1][1] += _END
+        prev = w
+    if path:
+        yield from leave(begin)
+
+
+def _edges(batches, begin: int) -> Iterator:
+    import pyarrow as pa
+    schema = pa.schema([("from", pa.int64()), ("c", pa.string()), ("label", pa.string()), ("child", pa.int64()), ("depth", pa.int32()), ("next", pa.string())])
+    rows = []
+    for edge in forest(((s, w) for b in batches for s, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist())), begin):
+        rows.append(edge)
+        if len(rows) == EDGES:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+            rows = []
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
 
-    def edited(length: Column) -> Column:
-        close = F.levenshtein(F.col("label"), rest.substr(F.lit(1), length), 1) == 1
-        return F.when(may_edit & (left >= length) & close, F.struct(length.alias("on"), F.lit(1).alias("made")))
 
-    exact = F.when(rest.substr(F.lit(1), size) == F.col("label"), F.struct(size.alias("on"), F.lit(0).alias("made")))
-    return F.array_compact(F.array(exact, edited(size), edited(size - 1), edited(size + 1)))
+def _goes_on(rest: Column, after: Column) -> Column:
+    """Whether the edge's child has a way on with what ``rest`` has after its
+    first ``after`` letters, or is a word's end if that is nothing."""
+    letter = F.substr(rest, after + 1, F.lit(1))
+    return F.contains("next", F.when(letter == "", F.lit(_END)).otherwise(letter))
+
+
+def _move(on: Column, made: int, when: Column) -> Column:
+    """``on`` letters further with ``made`` edits, or null."""
+    return F.when(when, F.struct(on.cast("int").alias("on"), F.lit(made).alias("made")))
 
 
 def _next(states: DataFrame, edges: DataFrame) -> DataFrame:
     """The frontier one level on."""
-    rest = F.col("w").substr(F.col("pos") + 1, F.char_length("w"))
-    half = F.floor(F.char_length("w") / 2)
-    ahead = states.withColumn("rest", rest).withColumn("half", half)
-    on = edges.withColumnRenamed("node", "from")
-    # Edges of the state's own next letter: an edit lies past that letter.
-    own = ahead.join(on, (ahead["node"] == on["from"]) & (F.substring("rest", 1, 1) == on["c"]))
-    own = own.withColumn("m", _moves(F.col("rest"), (F.col("edits") == 0) & (F.col("pos") + F.char_length("label") >= F.col("half"))))
-    # Edges of another letter: the edit is here.
-    free = ahead.where("edits = 0 AND pos >= half")
-    other = free.join(on, (free["node"] == on["from"]) & (F.substring("rest", 1, 1) != on["c"]))
-    other = other.withColumn("m", _moves(F.col("rest"), F.lit(True)))
-    moved = own.unionByName(other).where("size(m) > 0").select("side", "w", "pos", "child", "edits", F.explode("m").alias("m"))
-    return moved.select("side", "w", (F.col("pos") + F.col("m.on")).alias("pos"), F.col("child").alias("node"), (F.col("edits") + F.col("m.made")).alias("edits"))
-
-
-def neighbours(known: DataFrame, scratch: Scratch) -> DataFrame:
+    edges = edges.withColumnRenamed("depth", "above")
+    ahead = states.drop("depth").withColumns({"rest": F.expr("substring(w, pos + 1)"), "may": F.expr("edits = 0 AND pos >= floor(char_length(w) / 2)")})
+    # A letter too many is left out where the state stands; of a run of equal letters, the last.
+    fewer = (ahead.where("may AND char_length(rest) > 1 AND substring(rest, 1, 1) <> substring(rest, 2, 1)")
+             .withColumns({"pos": F.col("pos") + 1, "rest": F.expr("substring(rest, 2)"), "edits": F.lit(1), "may": F.lit(False)}))
+    rest, label = F.col("rest"), F.col("label")
+    size, left = F.char_length(label), F.char_length(rest)
+    here = F.col("node") == F.col("from")
+
+    # Along the state's own next letter; an edit lies past it, inside the label.
+    walking = ahead.unionByName(fewer).where("rest <> ''").withColumn("letter", F.substring("rest", 1, 1))
+    own = walking.join(edges, here & (F.col("letter") == F.col("c")))
+    exact = F.startswith(rest, label)
+    inside = (F.col("edits") == 0) & (size > 1) & ~exact & (F.col("pos") + size >= F.floor(F.char_length("w") / 2))
+
+    def edited(length: Column) -> Column:
+        return _move(length, 1, inside & (left >= length) & (F.levenshtein(label, F.substr(rest, F.lit(1), length), 1) == 1) & _goes_on(rest, length))
+
+    own_moves = F.array(_move(size, 0, exact & ((F.col("edits") == 0) | _goes_on(rest, size))), edited(size), edited(size - 1), edited(size + 1))
+
+    # Along another letter: it replaces the state's next one or is put before it.
+    others = here & (F.substring("rest", 1, 1) != F.col("c"))
+    tail = F.expr("substring(label, 2)")
+    replaced = (left >= size) & (tail == F.substr(rest, F.lit(2), size - 1)) & _goes_on(rest, size)
+    put = (left >= size - 1) & (tail == F.substr(rest, F.lit(1), size - 1)) & _goes_on(rest, size - 1)
+    other = ahead.where("may").join(edges, others & (replaced | put))
+    other_moves = F.array(_move(size, 1, replaced), _move(size - 1, 1, put))
+
+    def moved(frame: DataFrame, moves: Column) -> DataFrame:
+        frame = frame.select("side", "w", "pos", "child", "edits", (F.col("above") + size).alias("depth"), F.explode(F.array_compact(moves)).alias("m"))
+        return frame.select("side", "w", (F.col("pos") + F.col("m.on")).alias("pos"), F.col("child").alias("node"), "depth", (F.col("edits") + F.col("m.made")).alias("edits"))
+
+    return moved(own, own_moves).unionByName(moved(other, other_moves))
+
+
+def neighbours(known: DataFrame, scratch: Scratch, least_letters: int = 1) -> DataFrame:
     """(word, near, near_n), both ways, of the words of ``known`` (word, n;
-    distinct) that differ by one inserted, deleted or replaced letter."""
+    distinct, none shorter than ``least_letters``) that differ by one inserted,
+    deleted or replaced letter."""
     python_stages(known.sparkSession)
-    edges, ends, states = trie(known, scratch)
+    begin = least_letters // 2
+    read = scratch.write(known.select("word", "n").mapInArrow(lambda it: _words(it, begin), "side int, w string, n long, root long, last long"), "read")
+    in_order = read.select("side", "w").repartitionByRange("side", "w").sortWithinPartitions("side", "w")
+    edges = scratch.write(in_order.mapInArrow(lambda it: _edges(it, begin), "from long, c string, label string, child long, depth int, next string"), "edges")
+    states = read.select("side", "w", F.lit(begin).alias("pos"), F.col("root").alias("node"), F.lit(begin).alias("depth"), F.lit(0).alias("edits"))
     level, found = 0, None
     while True:
         seen = Observation()
-        states = scratch.write(states.observe(seen, F.count(F.lit(1)).alias("n")), f"states-{level}")
-        if not seen.get["n"]:
-            break
+        on_way = F.expr("edits = 0 OR pos < char_length(w)")
+        states = scratch.write(states.observe(seen, F.count_if(on_way).alias("n"), F.min(F.when(on_way, F.col("depth"))).alias("least")), f"states-{level}")
         # At a word's end with one edit, or one letter before it without.
         done = states.where("edits = 1 AND pos = char_length(w) OR edits = 0 AND pos = char_length(w) - 1").select("side", "w", "node")
         found = done if found is None else found.unionByName(done)
-        states, level = _next(states, edges), level + 1
-    if found is None:
-        return known.select("word", F.col("word").alias("near"), F.col("n").alias("near_n")).where("false")
+        if not seen.get["n"]:
+            break
+        states, level = _next(states.where(on_way), edges.where(F.col("depth") >= seen.get["least"])), level + 1
 
     def forward(c: str) -> Column:
         return F.when(F.col("side") == 0, F.col(c)).otherwise(F.reverse(c))
 
-    pairs = found.distinct().join(ends, ["node", "side"]).select(forward("w").alias("word"), forward("t").alias("near"), F.col("t_n").alias("near_n"))
+    ends = read.select("side", F.col("last").alias("node"), F.col("w").alias("t"), F.col("n").alias("near_n"))
+    pairs = found.join(ends, ["node", "side"]).select(forward("w").alias("word"), forward("t").alias("near"), "near_n")
     near = scratch.write(pairs.where(F.levenshtein("word", "near", 1) == 1).distinct(), "near")
-    scratch.drop("paths", "edges", "ends", *[f"states-{k}" for k in range(level + 1)])
+    scratch.drop("read", "edges", *[f"states-{k}" for k in range(level + 1)])
     return near
 
 
@@ -183,7 +237,7 @@ def group(docs: DataFrame, every: int = EVERY, least_letters: int = LEAST_LETTER
     count each."""
     scratch = Scratch(docs.sparkSession, "spelling")
     known = scratch.write(words(docs, every).where((F.char_length("word") >= least_letters) & (F.col("n") >= least_count)), "words")
-    near = neighbours(known, scratch)
+    near = neighbours(known, scratch, least_letters)
     best = near.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near"))).alias("b"))
     joined = known.join(best, "word", "left").withColumn("top", -F.col("b.less"))
     is_form = F.col("top") >= F.col("n") * factor
