@@ -22,28 +22,38 @@ next_viewed        earliest view time >= time
 next_completed     earliest completion time >= time
 =================  ============================================
 
-Both windows share the ``(person, offer_id)`` partitioning, so the frame
-costs one shuffle of the compacted keys plus two sorts; backward-looking
-questions are answered by a descending window with a growing frame rather
-than an ``unboundedFollowing`` frame (which Spark re-evaluates per row).
+The windows are two-level (``operators.sliced``): the frame is dealt by
+(person, offer_id, time slice), so the rows of one person and offer are spread
+over as many tasks as they have slices.  That costs one shuffle of the
+compacted keys and two of one row a slice; backward-looking questions are
+answered by a descending window with a growing frame rather than an
+``unboundedFollowing`` frame (which Spark re-evaluates per row).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from .sliced import AFTER, BEFORE, FROM, SLICE_HOURS, UPTO, Running, deal, running
 
 KEYS = ["person", "offer_id"]
 
 LIFECYCLE_EVENTS = [fixed.OFFER_RECEIVED, fixed.OFFER_VIEWED, fixed.OFFER_COMPLETED]
 
 
-def event_keys(events: DataFrame, deduplicated: bool = False) -> DataFrame:
+COUNTS = ("n_received_rows", "n_completed_rows", "reward_groups")
+
+
+def event_keys(events: DataFrame, deduplicated: bool = False, counts: Sequence[str] = COUNTS) -> DataFrame:
     """Distinct (person, offer_id, time) with is_received / is_viewed /
-    is_completed flags and the number of distinct receipt and completion rows
-    at that key.
+    is_completed flags and, as asked by ``counts``, the number of distinct
+    receipt rows, of distinct completion rows and of distinct rewards of
+    completions (NULL counting as one) at that key.  Ask only for those that
+    are used: the frame is exchanged whole.
 
     ``deduplicated=True`` (the input has no exact repeats) counts rows with
     ``count_if``: a plain hash aggregate.  Otherwise the counts are sizes of
@@ -53,55 +63,46 @@ def event_keys(events: DataFrame, deduplicated: bool = False) -> DataFrame:
     payloads seen at one key and hour.
     """
     ev = F.col("event")
-    if deduplicated:
-        n_received = F.count_if(ev == fixed.OFFER_RECEIVED)
-        n_completed = F.count_if(ev == fixed.OFFER_COMPLETED)
-    else:
-        payload = F.struct("amount", "reward")
-        n_received = F.size(F.collect_set(F.when(ev == fixed.OFFER_RECEIVED, payload)))
-        n_completed = F.size(F.collect_set(F.when(ev == fixed.OFFER_COMPLETED, payload)))
+
+    def distinct_rows(event: str) -> Column:
+        if deduplicated:
+            return F.count_if(ev == event).cast("int")
+        return F.size(F.collect_set(F.when(ev == event, F.struct("amount", "reward"))))
+
+    counted = {"n_received_rows": distinct_rows(fixed.OFFER_RECEIVED), "n_completed_rows": distinct_rows(fixed.OFFER_COMPLETED),
+               "reward_groups": F.size(F.collect_set(F.when(ev == fixed.OFFER_COMPLETED, F.struct("reward"))))}
     return (events
             .filter(F.col("offer_id").isNotNull() & ev.isin(*LIFECYCLE_EVENTS))
             .groupBy("person", "offer_id", "time")
             .agg(F.bool_or(ev == fixed.OFFER_RECEIVED).alias("is_received"),
                  F.bool_or(ev == fixed.OFFER_VIEWED).alias("is_viewed"),
                  F.bool_or(ev == fixed.OFFER_COMPLETED).alias("is_completed"),
-                 n_received.cast("int").alias("n_received_rows"),
-                 n_completed.cast("int").alias("n_completed_rows")))
+                 *[counted[c].alias(c) for c in counts]))
 
 
-def lifecycle(events: DataFrame, deduplicated: bool = False) -> DataFrame:
+def lifecycle(events: DataFrame, deduplicated: bool = False, counts: Sequence[str] = COUNTS) -> DataFrame:
     """The as-of frame described in the module docstring."""
-    return lifecycle_from_keys(event_keys(events, deduplicated))
-
-
-def lifecycle_from_keys(keys: DataFrame) -> DataFrame:
-    """The as-of windows over an ``event_keys`` frame (possibly edited)."""
-    t = F.col("time")
-    asc = Window.partitionBy(*KEYS).orderBy(t.asc())
-    desc = Window.partitionBy(*KEYS).orderBy(t.desc())
-    upto = asc.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = asc.rowsBetween(Window.unboundedPreceding, -1)
-    from_here = desc.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = desc.rowsBetween(Window.unboundedPreceding, -1)
-
-    def at(flag: str):
-        return F.when(F.col(flag), t)
-
-    def known(found):
-        # NULL persons form one window partition but match nobody in a join.
-        return F.when(F.col("person").isNotNull(), found)
-
-    # One select, so Catalyst builds one Window operator per sort order
-    # (frames may differ inside one operator) instead of one per column.
-    return keys.select(
-        *keys.columns,
-        known(F.max(at("is_received")).over(upto)).alias("last_received"),
-        known(F.max(at("is_received")).over(before)).alias("prev_received"),
-        known(F.max(at("is_viewed")).over(upto)).alias("last_viewed"),
-        known(F.min(at("is_received")).over(after)).alias("next_received"),
-        known(F.min(at("is_viewed")).over(from_here)).alias("next_viewed"),
-        known(F.min(at("is_completed")).over(from_here)).alias("next_completed"))
+    return lifecycle_from_keys(event_keys(events, deduplicated, counts))
+
+
+def _at(flag: str) -> Column:
+    return F.when(F.col(flag), F.col("time"))
+
+
+def lifecycle_from_keys(keys: DataFrame, slice_hours: float = SLICE_HOURS) -> DataFrame:
+    """The as-of columns over an ``event_keys`` frame (possibly edited)."""
+    asked = [
+        Running("last_received", "max", _at("is_received"), UPTO),
+        Running("prev_received", "max", _at("is_received"), BEFORE),
+        Running("last_viewed", "max", _at("is_viewed"), UPTO),
+        Running("next_received", "min", _at("is_received"), AFTER),
+        Running("next_viewed", "min", _at("is_viewed"), FROM),
+        Running("next_completed", "min", _at("is_completed"), FROM),
+    ]
+    frame = running(deal(keys, KEYS, "time", slice_hours), ["time"], asked)
+    # NULL persons form one window partition but match nobody in a join.
+    known = [F.when(F.col("person").isNotNull(), F.col(r.name)).alias(r.name) for r in asked]
+    return frame.select(*keys.columns, *known)
 
 
 def with_offer_terms(frame: DataFrame, offers: DataFrame, receipt_col: str = "last_received",
@@ -116,27 +117,3 @@ def with_offer_terms(frame: DataFrame, offers: DataFrame, receipt_col: str = "la
     out = frame.join(terms, "offer_id", how)
     return out.withColumn("expiry_time", F.col(receipt_col) + F.col("duration") * F.lit(fixed.HOURS_PER_DAY))
 
-
-def clear_events(keys: DataFrame, hits: DataFrame, event: str) -> DataFrame:
-    """Delete every ``event`` row at the (person, offer_id, time) keys in
-    ``hits`` from an ``event_keys`` frame: the key-level equivalent of
-    deleting those rows from the log.  The key stays, with its flag cleared
-    and ``deleted_received`` / ``deleted_completed`` set, so the frame also
-    remembers what was deleted (cleared flags never reach the windows)."""
-    hit = F.col("_hit").isNotNull()
-    for c in ("deleted_received", "deleted_completed"):
-        if c not in keys.columns:
-            keys = keys.withColumn(c, F.lit(False))
-    marked = keys.join(hits.select("person", "offer_id", "time", F.lit(True).alias("_hit")).distinct(),
-                       ["person", "offer_id", "time"], "left")
-    if event == fixed.OFFER_RECEIVED:
-        marked = (marked.withColumn("deleted_received", F.col("deleted_received") | (hit & F.col("is_received")))
-                  .withColumn("is_received", F.col("is_received") & ~hit)
-                  .withColumn("n_received_rows", F.when(hit, F.lit(0)).otherwise(F.col("n_received_rows"))))
-    elif event == fixed.OFFER_COMPLETED:
-        marked = (marked.withColumn("deleted_completed", F.col("deleted_completed") | (hit & F.col("is_completed")))
-                  .withColumn("is_completed", F.col("is_completed") & ~hit)
-                  .withColumn("n_completed_rows", F.when(hit, F.lit(0)).otherwise(F.col("n_completed_rows"))))
-    else:
-        raise ValueError(f"only receipts and completions are deleted by key, not {event}")
-    return marked.select(*keys.columns)

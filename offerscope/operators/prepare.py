@@ -77,9 +77,12 @@ def flatten_events(transcript: DataFrame, keep_value: bool = False) -> DataFrame
     ``offer id``; parsing by key keeps ids that contain ``_`` or spaces intact.
     Numbers that do not parse become NULL (``try_cast``).
     """
-    dtype = dict(transcript.dtypes)["value"]
-    base = [F.col("person").cast("string").alias("person"), F.col("event").cast("string").alias("event"),
-            F.col("time").cast("int").alias("time")]
+    types = dict(transcript.dtypes)
+    dtype = types["value"]
+    # Passed through as they are where they can be: Spark keeps or removes an
+    # alias of the same name by what else a plan holds, and two readings of the
+    # log that differ in that would not share one exchange.
+    base = [F.col(c) if types[c] == t else F.col(c).cast(t).alias(c) for c, t in (("person", "string"), ("event", "string"), ("time", "int"))]
     if dtype.startswith("struct"):
         parsed = transcript.select(*base, F.col("value.`offer id`").alias("_k0"), F.col("value.offer_id").alias("_k1"),
                                    F.col("value.amount").alias("_k2"), F.col("value.reward").alias("_k3"),

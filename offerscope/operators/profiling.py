@@ -1,9 +1,10 @@
 """Profiling statistics as DataFrame → DataFrame functions.
 
-All are aggregates that Spark computes with a partial (map-side) step:
-exact percentiles keep a value→count map per partition, so their size grows
-with the number of *distinct* values, not with rows.  ``approx=True`` swaps
-in ``percentile_approx`` where distinct values are unbounded.
+All are aggregates that Spark computes with a partial (map-side) step.  Exact
+percentiles of a column with few distinct values (an age, an income in
+thousands) merge one entry a distinct value; ``wide=True`` selects them by rank
+(``operators.selection``) where distinct values are unbounded, and
+``approx=True`` swaps in ``percentile_approx``.
 """
 
 from __future__ import annotations
@@ -14,12 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bands, fixed
+from .selection import select_quantiles
 
 FIVE_NUMBER = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 
 def quantiles(df: DataFrame, col: str, probs: Sequence[float], names: Sequence[str],
-              by: Sequence[str] = (), approx: bool = False, accuracy: int = 100000) -> DataFrame:
+              by: Sequence[str] = (), approx: bool = False, accuracy: int = 100000, wide: bool = False) -> DataFrame:
     """Continuous-interpolation percentiles (``PERCENTILE_CONT``) as columns.
 
     Written as a (grouped) aggregate, not as a window over all rows: a
@@ -27,8 +29,13 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float], names: Sequence[s
     Exact mode first counts each distinct value (a distributed aggregate with
     a map-side combine), then runs ``percentile`` with those counts as
     frequencies: the final merge sees every distinct value once, instead of
-    one value map per input task.
+    one value map per input task.  ``wide`` (without ``by``): distributed rank
+    selection, no task holds all distinct values.
     """
+    if wide and not approx:
+        if by:
+            raise ValueError("rank selection is over all rows; group few distinct values instead")
+        return select_quantiles(df, col, probs, names)
     probs_arr = F.array(*[F.lit(float(p)) for p in probs])
     if approx:
         agg_expr = F.percentile_approx(F.col(col).cast("double"), list(probs), accuracy).alias("_q")
@@ -42,9 +49,9 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float], names: Sequence[s
 
 
 def five_number(df: DataFrame, col: str, names: Sequence[str] | None = None,
-                by: Sequence[str] = (), approx: bool = False) -> DataFrame:
+                by: Sequence[str] = (), approx: bool = False, wide: bool = False) -> DataFrame:
     names = names or [f"min_{col}", "q1", f"median_{col}", "q3", f"max_{col}"]
-    return quantiles(df, col, FIVE_NUMBER, names, by, approx)
+    return quantiles(df, col, FIVE_NUMBER, names, by, approx, wide=wide)
 
 
 def median(df: DataFrame, col: str, name: str | None = None, by: Sequence[str] = (),
@@ -54,17 +61,15 @@ def median(df: DataFrame, col: str, name: str | None = None, by: Sequence[str] =
 
 def iqr_outliers(df: DataFrame, col: str, keep: Sequence[str], k: float = fixed.IQR_FACTOR,
                  label: str = "outlier_category", approx: bool = False,
-                 only_outliers: bool = True) -> DataFrame:
+                 only_outliers: bool = True, wide: bool = False) -> DataFrame:
     """Rows of ``df`` classed Low/High Outlier by Tukey fences.
 
-    The quartiles are one global aggregate used as scalar subqueries: Spark
-    evaluates it once and inlines the two numbers, so the row-level pass is a
-    plain filter/project with no join and no shuffle of ``df``.
+    The quartiles are one row used as a scalar subquery: Spark evaluates it
+    once and inlines the two numbers, so the row-level pass is a plain
+    filter/project with no join and no shuffle of ``df``.
     """
-    stats = quantiles(df, col, [0.25, 0.75], ["q1", "q3"], approx=approx)
-    q1 = stats.select("q1").scalar()
-    q3 = stats.select("q3").scalar()
-    out = df.select(*keep, bands.outlier_class(col, q1, q3, k).alias(label))
+    stats = quantiles(df, col, [0.25, 0.75], ["q1", "q3"], approx=approx, wide=wide).select(F.struct("q1", "q3")).scalar()
+    out = df.select(*keep, bands.outlier_class(col, stats["q1"], stats["q3"], k).alias(label))
     if only_outliers:
         out = out.filter(F.col(label).isin(fixed.HIGH_OUTLIER, fixed.LOW_OUTLIER))
     return out

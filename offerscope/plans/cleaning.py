@@ -8,15 +8,14 @@ frames).
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bands, fixed
 from ..operators import impute, prepare
 from ..operators import lifecycle as lc
-from ..operators.spend import txn_points
+from ..operators.sliced import SLICE_HOURS, whole
+from ..operators.spend import TXN_POINT, money, spends
 from . import quality
 
 
@@ -83,60 +82,69 @@ def underspend_lateral_flagged(events: DataFrame, offers: DataFrame, frame: Data
     return out.select("person", "offer_id", "received_time", "completed_time", "difficulty", "total_spent")
 
 
-def _materialize(df: DataFrame, materialize: bool, name: str) -> DataFrame:
-    """Cut the lineage by writing the frame to the shared checkpoint folder
-    (``spark.checkpoint.dir``), so a lost executor does not replay the chain."""
-    if not materialize:
-        return df
-    from ..session import materialize as write_and_read
-    return write_and_read(df, name)
-
-
-RULES = [
-    (superseded_receipts, fixed.OFFER_RECEIVED, "first_received"),
-    (underspend_window_flagged, fixed.OFFER_COMPLETED, "completed_time"),
-    (underspend_completion_flagged, fixed.OFFER_COMPLETED, "completed_time"),
-    (underspend_lateral_flagged, fixed.OFFER_COMPLETED, "completed_time"),
-]
-
-
-def flagged_keys(events: DataFrame, offers: DataFrame, materialize: bool = True,
-                 steps: int = len(RULES)) -> DataFrame:
-    """(person, offer_id, time, event) of every row the ordered rules delete.
-    ``events`` is the de-duplicated log.
-
-    The rules only ever delete receipts or completions at whole keys, and
-    every rule reads the log only through the lifecycle key frame and the
-    transactions, which no rule touches.  So the chain runs on compact data:
-    the key frame and the per-(person, hour) transaction totals are built
-    once; each step evaluates its rule on the current keys and clears (and
-    records) the hits in the key frame before the next rule.  Every step's
-    key frame is written to the checkpoint folder, which keeps each step's
-    lineage one level deep.  The raw log is read once for the keys, once for
-    the transactions and once for the final anti-join.
-    """
-    # The key frame and the transaction totals are independent jobs: submit
-    # them together so they share the cluster instead of running back to back.
-    with ThreadPoolExecutor(max_workers=2) as pool:
-        keys_job = pool.submit(_materialize, lc.event_keys(events, deduplicated=True), materialize, "lifecycle-keys")
-        points_job = pool.submit(_materialize, txn_points(prepare.transactions(events)), materialize, "txn-points")
-        keys, points = keys_job.result(), points_job.result()
-    for i, (rule, event, time_col) in enumerate(RULES[:steps]):
-        hits = rule(events, offers, frame=lc.lifecycle_from_keys(keys), points=points) \
-            .select("person", "offer_id", F.col(time_col).alias("time"))
-        keys = _materialize(lc.clear_events(keys, hits, event), materialize, f"lifecycle-keys-{i}")
-    cols = ["person", "offer_id", "time"]
-    if "deleted_received" not in keys.columns:
-        return keys.select(*cols, F.lit(None).cast("string").alias("event")).limit(0)
-    rec = keys.filter("deleted_received").select(*cols, F.lit(fixed.OFFER_RECEIVED).alias("event"))
-    comp = keys.filter("deleted_completed").select(*cols, F.lit(fixed.OFFER_COMPLETED).alias("event"))
-    return rec.unionByName(comp)
-
-
-def clean_events(events: DataFrame, offers: DataFrame, materialize: bool = True,
-                 steps: int = len(RULES)) -> DataFrame:
+RULES = [superseded_receipts, underspend_window_flagged, underspend_completion_flagged, underspend_lateral_flagged]
+
+
+def chain_cells(events: DataFrame) -> DataFrame:
+    """One row per (person, offer_id, time) of the de-duplicated log: the
+    lifecycle flags and the transactions' sum and number.  One aggregate feeds
+    both the key frame and the transaction points, so the log is read once for
+    the two of them."""
+    ev = F.col("event")
+    of_offer = F.col("offer_id").isNotNull()
+    bought = (ev == fixed.TRANSACTION) & F.col("amount").isNotNull()
+    return events.groupBy("person", "offer_id", "time").agg(
+        F.bool_or(of_offer & (ev == fixed.OFFER_RECEIVED)).alias("is_received"),
+        F.bool_or(of_offer & (ev == fixed.OFFER_VIEWED)).alias("is_viewed"),
+        F.bool_or(of_offer & (ev == fixed.OFFER_COMPLETED)).alias("is_completed"),
+        F.count_if(ev == fixed.OFFER_COMPLETED).alias("n_completed_rows"),
+        F.sum(F.when(bought, money(F.col("amount")))).alias("amt"), F.count_if(bought).alias("n_txn"))
+
+
+def flagged_keys(events: DataFrame, offers: DataFrame, steps: int = len(RULES), slice_hours: float = SLICE_HOURS) -> DataFrame:
+    """(person, offer_id, time, event) of every row that the first ``steps`` of
+    the ordered rules delete.  ``events`` is the de-duplicated log.
+
+    One linear plan, no job while it is built.  The rules only delete receipts
+    or completions at whole keys, and all that a later rule could see of an
+    earlier one's deletes is which receipt a completion belongs to.  The first
+    rule never takes that one away: let r be the latest receipt at or before a
+    completion c, and s > c the next receipt.  r would go if s came before r's
+    first completion (which is at c or earlier) or, if that one is past r's
+    expiry, before the expiry (which is then before c); s > c excludes both.
+    So one key frame serves all rules: the first one marks receipts on it, the
+    others flag completions after one spend pass for both of their ends, and a
+    completion goes if any of them flags it."""
+    cells = whole(chain_cells(events))
+    keys = cells.filter("is_received OR is_viewed OR is_completed").drop("amt", "n_txn", "is_viewed")
+    frame = lc.lifecycle_from_keys(keys.withColumn("is_viewed", F.lit(False)), slice_hours)
+    terms = lc.with_offer_terms(frame, offers, "time", how="left")
+    valid_until = F.coalesce(F.when(F.col("next_completed") <= F.col("expiry_time"), F.col("next_completed").cast("double")), F.col("expiry_time"))
+    superseded = F.col("is_received") & (F.col("next_received") < valid_until)
+    receipts = terms.filter(superseded if steps else F.lit(False)).select("person", "offer_id", "time", F.lit(fixed.OFFER_RECEIVED).alias("event"))
+    if steps < 2:
+        return receipts
+    done = (terms.filter(F.col("is_completed") & F.col("last_received").isNotNull() & F.col("duration").isNotNull())
+            .select("person", "offer_id", F.col("time").alias("completed_time"), F.col("last_received").alias("received_time"),
+                    (F.col("last_received") + F.col("duration") * F.lit(fixed.HOURS_PER_DAY)).alias("expiry_time"), "difficulty", "n_completed_rows"))
+    points = (cells.filter("n_txn > 0").groupBy(F.col("person").alias("_p"), F.col("time").cast("double").alias("_t"))
+              .agg(F.sum("amt").alias("_amt"), F.sum("n_txn").alias("_n")).withColumn("_kind", F.lit(TXN_POINT)))
+    spent = spends(done, points, "received_time", ["completed_time", "expiry_time"], slice_hours=slice_hours)
+    short = [
+        (F.col("completed_time") <= F.col("expiry_time")) & (F.col("spend_1").cast("double") < F.col("difficulty")),
+        F.round(F.col("spend_0").cast("double"), 0) < F.col("difficulty"),
+        F.coalesce((F.col("spend_0") * F.col("n_completed_rows")).cast("double"), F.lit(0.0)) < F.col("difficulty"),
+    ]
+    flagged = F.lit(False)
+    for rule in short[:steps - 1]:
+        flagged = flagged | F.coalesce(rule, F.lit(False))
+    completions = spent.filter(flagged).select("person", "offer_id", F.col("completed_time").alias("time"), F.lit(fixed.OFFER_COMPLETED).alias("event"))
+    return receipts.unionByName(completions)
+
+
+def clean_events(events: DataFrame, offers: DataFrame, steps: int = len(RULES), slice_hours: float = SLICE_HOURS) -> DataFrame:
     """Ordered deletes: superseded receipts, then the three under-spend rules,
     each evaluated on the previous step's result.  Returns the surviving log
     (a left-anti join of the log with the deleted keys)."""
-    removed = flagged_keys(events, offers, materialize, steps)
+    removed = flagged_keys(events, offers, steps, slice_hours)
     return events.join(removed, ["person", "offer_id", "time", "event"], "left_anti").select(*events.columns)

@@ -43,13 +43,13 @@ class Tables:
         out.lifecycle_from_deduplicated = "events" in parts
         return out
 
-    def after_cleaning(self, materialize: bool = True) -> "Tables":
+    def after_cleaning(self) -> "Tables":
         """A copy whose event log is the log after the ordered deletes
         (``cleaning.clean_events``), as the descriptive analyses saw it when
         they ran after the cleaning script."""
         from .cleaning import clean_events
         out = Tables(self.portfolio, self.profile, self.transcript)
-        out.__dict__["events"] = clean_events(self.events, self.offers, materialize=materialize)
+        out.__dict__["events"] = clean_events(self.events, self.offers)
         out.lifecycle_from_deduplicated = True
         return out
 
@@ -86,13 +86,17 @@ class Tables:
     def completed(self) -> DataFrame:
         return prepare.completed(self.events)
 
+    def lifecycle_with(self, *counts: str) -> DataFrame:
+        """As-of frame with the asked ``counts`` of ``lifecycle.event_keys``.
+        Insensitive to exact repeats, so it is built from the raw flattened
+        log unless the de-duplicated log is materialized."""
+        if self.lifecycle_from_deduplicated:
+            return lc.lifecycle(self.events, deduplicated=True, counts=counts)
+        return lc.lifecycle(self.flat, counts=counts)
+
     @cached_property
     def lifecycle(self) -> DataFrame:
-        """As-of frame.  Insensitive to exact repeats, so it is built from the
-        raw flattened log unless the de-duplicated log is materialized."""
-        if self.lifecycle_from_deduplicated:
-            return lc.lifecycle(self.events, deduplicated=True)
-        return lc.lifecycle(self.flat)
+        return self.lifecycle_with()
 
     # ---- profiles ------------------------------------------------------
     @cached_property

@@ -3,9 +3,11 @@
 Each oracle is ``PRELUDE`` (common table expressions that rebuild the raw
 inputs from the pre-registered ``events`` and ``customer`` views, exactly as
 ``sources.fixtures`` does) followed by one query.  The lifecycle questions
-are written with joins (``NOT EXISTS``, ``ROW_NUMBER``, ``MIN … GROUP BY``)
-as the original analyses were, so they check the Spark window/prefix-sum
-plans independently.  Money sums are done in DECIMAL(28,10) like the Spark
+are put in DuckDB's own terms, in four pieces that the catalogs share: the
+receipt in force is an ``ASOF JOIN``, spend is a difference of two running
+totals found by ``ASOF JOIN``, the next completion, view or receipt is a window
+over all marks of a person and offer, and later receipts are the list such a
+window gathers.  Money sums are done in DECIMAL(28,10) like the Spark
 side; every ``1.0 * a / b`` is a DOUBLE with NULLIF on the divisor.
 """
 
@@ -124,3 +126,70 @@ def with_prelude(query: str) -> str:
     if q[:4].upper() == "WITH":
         return "WITH " + PRELUDE.strip() + ",\n" + q[4:].lstrip()
     return "WITH " + PRELUDE.strip() + "\n" + q
+
+
+# --- pieces of the lifecycle questions ------------------------------------
+# rec, comp, view, txn: names of the relations to read.
+
+def receipts(rec: str = "offer_received") -> str:
+    return f"(SELECT DISTINCT person, offer_id, time AS got FROM {rec})"
+
+
+def in_force(keys: str, at: str, rec: str = "offer_received", kind: str = "") -> str:
+    """``keys`` k with ``got``: the receipt in force at ``at`` (``kind``:
+    '' or 'LEFT')."""
+    return (f"SELECT k.*, r.got FROM ({keys}) k ASOF {kind} JOIN {receipts(rec)} r "
+            f"ON k.person = r.person AND k.offer_id = r.offer_id AND k.{at} >= r.got")
+
+
+def marks(rec: str = "offer_received", comp: str = "offer_completed", view: str | None = None) -> str:
+    """Every receipt with what comes next: receipt, completion, view."""
+    parts = [f"SELECT DISTINCT person, offer_id, time, '{k}' AS kind FROM {src}" for k, src in (("r", rec), ("c", comp), ("v", view)) if src]
+    next_ = ", ".join(f"MIN(time) FILTER (kind = '{k}') OVER (here RANGE BETWEEN {start} AND UNBOUNDED FOLLOWING) AS {name}"
+                      for k, start, name in (("r", "1 FOLLOWING", "next_got"), ("c", "CURRENT ROW", "next_done"), ("v", "CURRENT ROW", "next_view"))
+                      if k != "v" or view)
+    return (f"SELECT * FROM (SELECT *, {next_}, list(time) FILTER (kind = 'r') OVER (here RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later "
+            f"FROM ({' UNION ALL '.join(parts)}) WHERE person IS NOT NULL WINDOW here AS (PARTITION BY person, offer_id ORDER BY time)) WHERE kind = 'r'")
+
+
+def windows(rec: str = "offer_received", comp: str = "offer_completed") -> str:
+    """``marks`` of catalogue offers with the end of the receipt's validity
+    (expiry_time) and of its window (end_time: a completion inside it, if any)."""
+    return (f"SELECT m.*, m.time + 24 * p.duration AS expiry_time, least(m.time + 24 * p.duration, m.next_done) AS end_time "
+            f"FROM ({marks(rec, comp)}) m JOIN portfolio_cleaned p ON p.id = m.offer_id")
+
+
+def spent(rows: str, until: str, txn: str = "transaction_done") -> str:
+    """``rows`` (with person and got) plus ``n_txn`` and ``spent`` of the
+    person's purchases from ``got`` to ``until``."""
+    totals = (f"(SELECT person, time, SUM(amt) OVER up AS amt, SUM(n) OVER up AS n FROM "
+              f"(SELECT person, time, SUM(CAST(amount AS DECIMAL(28,10))) AS amt, COUNT(amount) AS n FROM {txn} GROUP BY ALL) "
+              f"WINDOW up AS (PARTITION BY person ORDER BY time))")
+    return (f"SELECT x.*, coalesce(b.n, 0) - coalesce(a.n, 0) AS n_txn, coalesce(b.amt, 0) - coalesce(a.amt, 0) AS spent FROM ({rows}) x "
+            f"ASOF LEFT JOIN {totals} b ON x.person = b.person AND x.{until} >= b.time "
+            f"ASOF LEFT JOIN {totals} a ON x.person = a.person AND x.got > a.time")
+
+
+def completions(comp: str = "offer_completed") -> str:
+    """Completions by key: rows at the key, and how many rewards they name."""
+    return (f"SELECT person, offer_id, time AS completed_time, COUNT(*) AS n_rows, "
+            f"COUNT(DISTINCT reward) + MAX((reward IS NULL)::INT) AS n_rewards FROM {comp} GROUP BY ALL")
+
+
+def held_completions(rec: str = "offer_received", comp: str = "offer_completed") -> str:
+    """``completions`` of catalogue offers with their receipt in force."""
+    return (f"SELECT h.*, h.got AS received_time, h.got + 24 * p.duration AS expiry_time, p.difficulty "
+            f"FROM ({in_force(completions(comp), 'completed_time', rec)}) h JOIN portfolio_cleaned p ON p.id = h.offer_id")
+
+
+def short_of(until: str, total: str, columns: str, rec: str = "offer_received", comp: str = "offer_completed",
+             txn: str = "transaction_done", where: str = "true") -> str:
+    """``columns`` of the held completions whose ``total`` (over n_txn, spent,
+    n_rows, n_rewards) is below the difficulty."""
+    return (f"SELECT {columns} FROM (SELECT *, {total} AS total FROM ({spent(held_completions(rec, comp), until, txn)})) "
+            f"WHERE total < difficulty AND {where}")
+
+
+def known(times: str = "1") -> str:
+    """Spend as a double, NULL if nothing was bought."""
+    return f"CASE WHEN n_txn > 0 THEN CAST(spent * {times} AS DOUBLE) END"

@@ -9,12 +9,13 @@ distinct key, so no join back to the raw log is needed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import lifecycle as lc
 from ..operators import prepare
+from ..operators.sliced import SLICE, SLICE_HOURS, Running, deal, running
 from ..operators.spend import window_spend
 
 KEY = ["person", "offer_id", "time"]
@@ -110,18 +111,45 @@ def completed_after_expiry_context(events: DataFrame, offers: DataFrame, frame:
                     F.col("time").alias("completed_time")))
 
 
-def completed_unviewed_pairs(events: DataFrame, frame: DataFrame | None = None) -> DataFrame:
+_PARTNERS, _ASKING = 0, 1
+
+
+def _pairs_within(roles: DataFrame, cell: list[str], partner: str) -> DataFrame:
+    """The asking rows of ``roles`` with ``_partners``: the array of
+    ``partner`` of the partner rows in their cell.  One exchange, no join: a
+    window per cell gathers the partners first (``_role`` order), then passes
+    the asking rows by them."""
+    order = Window.partitionBy(*cell).orderBy("_role").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    gathered = F.collect_list(F.when(F.col("_role") == _PARTNERS, F.col(partner))).over(order)
+    return roles.withColumn("_partners", gathered).filter(F.col("_role") == _ASKING)
+
+
+def completed_unviewed_pairs(events: DataFrame, frame: DataFrame | None = None,
+                             slice_hours: float = SLICE_HOURS) -> DataFrame:
     """(completion, each receipt at or before it) for completions with no
-    view at or before them.  The pairs are the rule's output; they are formed
-    on the compacted key frame, so a group holds at most one row per hour."""
+    view at or before them.
+
+    A time-bucketed range join: receipts lie in the cell of their time slice;
+    a completion is sent to the slices that hold a receipt of its person and
+    offer up to its own (a running array, so empty slices cost nothing).  Only
+    in its own slice can a receipt be later than the completion, so no
+    (person, offer) group is compared all to all.  Both sides come out of one
+    key frame, dealt into cells once."""
     frame = frame if frame is not None else lc.lifecycle(events)
-    comp = frame.filter(F.col("is_completed") & F.col("last_viewed").isNull()) \
-        .select("person", "offer_id", F.col("time").alias("completed_time"), "n_completed_rows")
-    rec = frame.filter(F.col("is_received")).select(
-        "person", "offer_id", F.col("time").alias("received_time"), "n_received_rows")
-    pairs = comp.join(rec, ["person", "offer_id"]).filter(F.col("received_time") <= F.col("completed_time"))
-    return _repeat(pairs, F.col("n_completed_rows") * F.col("n_received_rows")) \
-        .select("person", "offer_id", "received_time", "completed_time")
+    indexed = running(deal(frame, lc.KEYS, "time", slice_hours), ["time"], [Running("_with_receipts", "slices", F.col("is_received"))])
+    receipt = F.struct("time", F.col("n_received_rows").alias("n"))
+    unviewed = F.col("is_completed") & F.col("last_viewed").isNull()
+    none = F.array().cast("array<struct<_cell:bigint,_role:int>>")
+    as_partner = F.when(F.col("is_received"), F.array(F.struct(F.col(SLICE).alias("_cell"), F.lit(_PARTNERS).alias("_role")))).otherwise(none)
+    as_asking = F.when(unviewed, F.transform("_with_receipts", lambda s: F.struct(s.alias("_cell"), F.lit(_ASKING).alias("_role")))).otherwise(none)
+    roles = (indexed.filter(F.col("person").isNotNull() & (F.col("is_received") | unviewed))
+             .select("person", "offer_id", "time", "n_completed_rows", receipt.alias("_receipt"), F.explode(F.concat(as_partner, as_asking)).alias("_r"))
+             .select("person", "offer_id", "time", "n_completed_rows", "_receipt", "_r._cell", "_r._role"))
+    asked = _pairs_within(roles, ["person", "offer_id", "_cell"], "_receipt")
+    pairs = asked.select("person", "offer_id", F.col("time").alias("completed_time"), "n_completed_rows",
+                         F.explode(F.filter("_partners", lambda r: r["time"] <= F.col("time"))).alias("_r"))
+    return _repeat(pairs, F.col("n_completed_rows") * F.col("_r.n")) \
+        .select("person", "offer_id", F.col("_r.time").alias("received_time"), "completed_time")
 
 
 def completed_unviewed(events: DataFrame, frame: DataFrame | None = None) -> DataFrame:
@@ -134,14 +162,6 @@ def completed_unviewed(events: DataFrame, frame: DataFrame | None = None) -> Dat
 
 # ---------------------------------------------------------------- spend
 
-def _reward_groups(events: DataFrame) -> DataFrame:
-    """Per completion key: number of distinct rewards, a NULL reward counting
-    as one group (``GROUP BY … c.reward``).  Only the rule that groups by
-    reward needs it."""
-    return (prepare.completed(events).groupBy(*KEY)
-            .agg((F.count_distinct("reward") + F.max(F.col("reward").isNull().cast("int"))).alias("reward_groups")))
-
-
 def underspend(events: DataFrame, offers: DataFrame, *, until: str = "completion",
                require_in_window: bool = False, multiplicity: str | None = None,
                missing_spend_as_zero: bool = False, spend_scale: int | None = None,
@@ -164,8 +184,7 @@ def underspend(events: DataFrame, offers: DataFrame, *, until: str = "completion
         comp = comp.filter(F.col("time") <= F.col("expiry_time"))
     comp = comp.withColumnRenamed("last_received", "received_time").withColumnRenamed("time", "completed_time")
     if multiplicity == "rewards":
-        groups = _reward_groups(events).withColumnRenamed("time", "completed_time")
-        comp = comp.join(groups, ["person", "offer_id", "completed_time"]).withColumn("_m", F.col("reward_groups"))
+        comp = comp.withColumn("_m", F.col("reward_groups"))
     elif multiplicity == "rows":
         comp = comp.withColumn("_m", F.col("n_completed_rows"))
     else:
@@ -196,8 +215,12 @@ def underspend_rownum(events: DataFrame, offers: DataFrame, frame: DataFrame | N
         .select("person", "offer_id", "received_time", "completed_time", "difficulty", "total_spent")
 
 
+UNDERSPEND_ORDER = ["person", "offer_id", "received_time"]
+
+
 def underspend_window(events: DataFrame, offers: DataFrame, frame: DataFrame | None = None) -> DataFrame:
-    """Spend over the whole validity window (missing spend = 0) with the shortfall."""
+    """Spend over the whole validity window (missing spend = 0) with the
+    shortfall, in ``UNDERSPEND_ORDER``."""
     out = underspend(events, offers, until="expiry", require_in_window=True, multiplicity="rows",
                      missing_spend_as_zero=True, frame=frame)
     return out.select("person", "offer_id", "received_time", "expiry_time", "difficulty", "completed_time",
@@ -223,42 +246,47 @@ def _bucket(t: Column, width: Column) -> Column:
     return F.floor(F.try_divide(t.cast("double"), width))
 
 
-def _band_pairs(first: DataFrame, second: DataFrame, start: str, end: str, t: str) -> DataFrame:
-    """Pairs (first, second) of the same (person, offer_id) with
-    ``start < second.t < end``, where ``end - start`` never exceeds the
-    offer's window length.  Both sides are bucketed by that length: a first
-    row covers at most two buckets, a second row sits in one, so the join is
-    an equi-join on (person, offer_id, bucket) and only receipts less than one
-    window apart are ever compared — never every pair of a busy group."""
+def _later_receipts(windows: DataFrame, start: str, end: str) -> DataFrame:
+    """``windows`` (one row a receipt) with ``_later``: the times of the same
+    person's later receipts of the offer with ``start < time < end``, where
+    ``end - start`` never exceeds the offer's window length.
+
+    Time is cut into buckets of that length.  A receipt is a partner in the
+    bucket of its time and asks in the one or two buckets its window touches,
+    so only receipts less than one window apart are ever compared, never every
+    pair of a busy group; both roles come out of one key frame."""
     w = F.col("window_hours")
-    lo = first.withColumn("_b", F.explode(F.sequence(_bucket(F.col(start), w).cast("long"),
-                                                      _bucket(F.col(end), w).cast("long"))))
-    hi = second.withColumn("_b", _bucket(F.col(t), w).cast("long")).drop("window_hours")
-    pairs = lo.join(hi, ["person", "offer_id", "_b"])
-    return pairs.filter((F.col(t) > F.col(start)) & (F.col(t) < F.col(end))).drop("_b", "window_hours")
+    mine, last = _bucket(F.col(start), w).cast("long"), _bucket(F.col(end), w).cast("long")
+    none = F.array().cast("array<struct<_cell:bigint,_role:int>>")
+    partner = F.when(mine.isNotNull(), F.array(F.struct(mine.alias("_cell"), F.lit(_PARTNERS).alias("_role")))).otherwise(none)
+    asking = F.when(mine <= last, F.transform(F.sequence(mine, last), lambda c: F.struct(c.alias("_cell"), F.lit(_ASKING).alias("_role")))).otherwise(none)
+    roles = (windows.filter(F.col("person").isNotNull()).withColumn("_r", F.explode(F.concat(partner, asking)))
+             .select("*", "_r._cell", "_r._role").drop("_r"))
+    asked = _pairs_within(roles, ["person", "offer_id", "_cell"], start)
+    inside = F.filter("_partners", lambda t: (t > F.col(start)) & (t < F.col(end)))
+    return asked.withColumn("_later", F.explode(inside)).drop("_partners", "_cell", "_role")
+
+
+OVERLAP_ORDER = ["person", "offer_id", "first_received"]
 
 
 def overlapping_receipts(events: DataFrame, offers: DataFrame, frame: DataFrame | None = None) -> DataFrame:
     """Receipt pairs where the second arrives before the first one ended
-    (completion inside its window, else expiry)."""
+    (completion inside its window, else expiry), in ``OVERLAP_ORDER``."""
     frame = frame if frame is not None else lc.lifecycle(events)
     w = receipt_windows(frame, offers).withColumn(
         "end_time", F.coalesce(F.col("completed_in_window").cast("double"), F.col("expiry_time")))
-    w1 = w.select("person", "offer_id", F.col("received_time").alias("first_received"),
-                  F.col("end_time").alias("first_end"), "window_hours")
-    w2 = w.select("person", "offer_id", F.col("received_time").alias("overlapping_received"), "window_hours")
-    return _band_pairs(w1, w2, "first_received", "first_end", "overlapping_received") \
-        .select("person", "offer_id", "first_received", "first_end", "overlapping_received")
+    return (_later_receipts(w, "received_time", "end_time")
+            .select("person", "offer_id", F.col("received_time").alias("first_received"),
+                    F.col("end_time").alias("first_end"), F.col("_later").alias("overlapping_received"))
+            .orderBy(*OVERLAP_ORDER))
 
 
 def overlapping_receipts_alt(events: DataFrame, offers: DataFrame, frame: DataFrame | None = None) -> DataFrame:
     """Same question using the first completion after the receipt (unbounded)."""
     frame = frame if frame is not None else lc.lifecycle(events)
-    w = receipt_windows(frame, offers)
-    r1 = w.select("person", "offer_id", F.col("received_time").alias("first_received"), "expiry_time",
-                  F.col("first_completed").alias("completed_time"), "window_hours")
-    r2 = w.select("person", "offer_id", F.col("received_time").alias("second_received"), "window_hours")
-    pairs = _band_pairs(r1, r2, "first_received", "expiry_time", "second_received")
-    cond = F.col("completed_time").isNull() | (F.col("second_received") < F.col("completed_time"))
-    return pairs.filter(cond) \
-        .select("person", "offer_id", "first_received", "second_received", "expiry_time", "completed_time")
+    pairs = _later_receipts(receipt_windows(frame, offers), "received_time", "expiry_time")
+    cond = F.col("first_completed").isNull() | (F.col("_later") < F.col("first_completed"))
+    return pairs.filter(cond).select("person", "offer_id", F.col("received_time").alias("first_received"),
+                                     F.col("_later").alias("second_received"), "expiry_time",
+                                     F.col("first_completed").alias("completed_time"))
