@@ -2,8 +2,9 @@
 word once.
 
 A pre-tokenizer never joins what lies on both sides of a word gap, so a text's
-ids are its words' ids in a row.  Words are looked up in a bounded cache and
-only new ones go to the library: letters only, alone or before one mark, straight
+ids are its words' ids in a row.  Words are looked up in a bounded cache of two
+generations (a full one becomes the old one, words met again move on) and only
+new ones go to the library: letters only, alone or before one mark, straight
 to its BPE model, others through the whole library.  A text whose gaps are unusual (see
 ``_byte_words`` and ``_plain_words``) or that may hold a special token's
 string goes to the library whole.
@@ -16,7 +17,7 @@ import os
 import re
 import struct
 
-CACHE_WORDS = 800_000    # about 150 MB a worker
+CACHE_WORDS = 500_000    # of one generation; both take about 180 MB a worker
 MARKS = ".,!?;:"
 PLAIN_LETTERS = "\u024f"    # letters up to here have one lower-case form and are composed; but for U+0130
 
@@ -26,6 +27,11 @@ _ODD_SPACE = re.compile(r" (?:\s|\Z)")
 _ODD_BLANK = re.compile(r"[\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
 
+# Lines of one word's text: a single line feed is always a token of its own.
+_LINES = re.compile(r"\S+(?:\n\S+)+")
+_LINE_FEED = ("\n",)
+
+
 def _byte_words(text: str) -> list[str] | None:
     """Words of a byte-level text, each with its leading space."""
     if _ODD_SPACE.search(text):
@@ -34,6 +40,29 @@ def _byte_words(text: str) -> list[str] | None:
     return [first, *[" " + w for w in rest]] if first else [" " + w for w in rest]
 
 
+def _byte_keys(text: str) -> list | None:
+    """Words of a byte-level text: as strings those after a blank, without
+    it; as tuples all others, line feeds and the words right after them."""
+    if _ODD_SPACE.search(text):
+        return None
+    words: list = text.split(" ")
+    first = words[0]
+    if "\n" not in text:
+        words[:1] = [(first,)] if first else []
+        return words
+    out: list = []
+    for k, w in enumerate(words):
+        if "\n" in w and _LINES.fullmatch(w):
+            w, *lines = w.split("\n")
+        else:
+            lines = []
+        if w or k:
+            out.append(w if k else (w,))
+        for line in lines:
+            out += [_LINE_FEED, (line,)]
+    return out
+
+
 def _plain_words(text: str) -> list[str] | None:
     """Words of a text whose tokenizer drops white space."""
     return None if _ODD_BLANK.search(text) else text.split()
@@ -44,11 +73,20 @@ class _WordIds(dict):
 
     def __init__(self, find):
         self.find = find
+        self.old: dict = {}
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self[word] = self.find(word)
+    def __missing__(self, word) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.find(word)
+        self[word] = ids
         return ids
 
+    def turn(self) -> None:
+        """The words now held become the old generation."""
+        self.old = dict(self)
+        self.clear()
+
 
 class WordEncoder:
     """``encode(texts)`` gives each text's ids as little-endian uint32 bytes,
@@ -62,7 +100,7 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.byte_level = self.tokenizer.normalizer is None
-        self.words = _byte_words if self.byte_level else _plain_words
+        self.words = _byte_keys if self.byte_level else _plain_words
         self.cache = _WordIds(self._word)
         self.model = self.tokenizer.model
         from .speculative_bpe import byte_letters
@@ -95,17 +133,27 @@ class WordEncoder:
         ids = [t.id for t in self.model.tokenize(text)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _word(self, word: str) -> bytes:
-        core = word[1:] if self.byte_level and word[:1] == " " else word
+    def _alone(self, word: str):
+        """Key of a word that no blank precedes."""
+        return (word,) if self.byte_level else word
+
+    def _word(self, key) -> bytes:
+        alone = type(key) is tuple
+        core = key[0] if alone else key
+        word = " " + core if self.byte_level and not alone else core
         if core.isascii():
             if core.isalpha():
                 return self._letters(word)
             if core[-1:] in MARKS and core[:-1].isalpha():
-                return self.cache[word[:-1]] + self.cache[core[-1]]
+                return self.cache[(core[:-1],) if alone else core[:-1]] + self.cache[self._alone(core[-1])]
         parts = self._parts(word)
         if parts is None:
             return self._library([word])[0]
-        return self._letters(word) if len(parts) == 1 else b"".join([self.cache[p] for p in parts])
+        if len(parts) == 1:
+            return self._letters(word)
+        first, *rest = parts
+        first = first[len(word) - len(core):]
+        return b"".join([self.cache[(first,) if alone else first], *[self.cache[self._alone(p)] for p in rest]])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         # The library's tokens form no cycles, but their number sets off many collections.
@@ -120,7 +168,7 @@ class WordEncoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         split = [None if any(s in t for s in self.special) else self.words(t) for t in texts]
         if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
+            self.cache.turn()
         known = self.cache.__getitem__
         whole = iter(self._library([t for t, w in zip(texts, split) if w is None]))
         return [next(whole) if w is None else b"".join(map(known, w)) for w in split]

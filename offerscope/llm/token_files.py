@@ -20,7 +20,8 @@ from .common import python_stages, text_or_empty
 from .encode import encoder
 
 MAGIC = b"OSBITS01"
-BLOCK = 4096            # ids; a multiple of 64, so that blocks end on whole words
+LANES = 64              # ids that fill whole 64-bit words whatever their width: one array operation a lane
+BLOCK = 4096            # ids; a multiple of LANES, so that blocks end on whole words
 READ_BLOCKS = 256       # blocks unpacked at once
 TRAILER = struct.Struct("<QQQQQ8s")   # bits, ids, docs, null mask bytes, index offset, magic
 
@@ -35,19 +36,34 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
     ids = np.ascontiguousarray(ids, np.uint64)
     if len(ids) and int(ids.max()) >> bits:
         raise ValueError(f"id {int(ids.max())} does not fit {bits} bits")
-    planes = (ids[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)
-    raw = np.packbits(planes.astype(np.uint8).reshape(-1), bitorder="little").tobytes()
-    return raw + bytes(-len(raw) % 8)
+    groups = -(-len(ids) // LANES)
+    lanes = np.zeros((groups, LANES), np.uint64)
+    lanes.reshape(-1)[:len(ids)] = ids
+    lanes = np.ascontiguousarray(lanes.T)
+    words = np.zeros((bits, groups), np.uint64)
+    for k, lane in enumerate(lanes):
+        word, shift = divmod(k * bits, 64)
+        words[word] |= lane << np.uint64(shift)
+        if shift + bits > 64:
+            words[word + 1] |= lane >> np.uint64(64 - shift)
+    return np.ascontiguousarray(words.T).astype("<u8").tobytes()[:-(-len(ids) * bits // 64) * 8]
 
 
 def unpack(raw: bytes, bits: int, n: int, first: int = 0) -> np.ndarray:
     """Ids ``first .. first + n`` of a packed run, without a loop over ids."""
-    words = np.frombuffer(raw + bytes(8 + -len(raw) % 8), "<u8")
-    at = (np.arange(first, first + n, dtype=np.uint64)) * np.uint64(bits)
-    word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-    low = words[word] >> shift
-    high = np.where(shift > 0, words[word + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
-    return ((low | high) & np.uint64((1 << bits) - 1)).astype(np.uint32)
+    begin = first // LANES
+    groups = -(-(first + n) // LANES) - begin
+    raw = raw[8 * bits * begin:8 * bits * (begin + groups)]
+    words = np.frombuffer(raw + bytes(8 * bits * groups - len(raw)), "<u8").astype(np.uint64).reshape(groups, bits)
+    words, mask = np.ascontiguousarray(words.T), np.uint64((1 << bits) - 1)
+    out = np.empty((LANES, groups), np.uint32)
+    for k in range(LANES):
+        word, shift = divmod(k * bits, 64)
+        lane = words[word] >> np.uint64(shift)
+        if shift + bits > 64:
+            lane = lane | (words[word + 1] << np.uint64(64 - shift))
+        out[k] = lane & mask
+    return np.ascontiguousarray(out.T).reshape(-1)[first - LANES * begin:][:n]
 
 
 class TokenFile:
