@@ -86,7 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 # Row order of the table is doc_id order; a window is the shortest run of
-# worded lines, from a line on or up to a line, that has 10 words.
+# worded lines, from a line on or up to a line, that has 2 words.
 _OP3 = r"""
 WITH cut AS (
   SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
@@ -99,13 +99,13 @@ WITH cut AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS idx FROM worded WHERE words > 0
 ), near AS (
   SELECT *, list(words) OVER a AS wa, list(words) OVER b AS wb, list(line) OVER a AS la, list(line) OVER b AS lb
-  FROM numbered WINDOW a AS (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING),
-                       b AS (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)
+  FROM numbered WINDOW a AS (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING),
+                       b AS (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)
 ), reach AS (
-  SELECT doc_id, idx, la AS ls, list_position(list_transform(range(1, len(wa) + 1), lambda k: list_sum(wa[1:k]) >= 10), true) AS n FROM near
+  SELECT doc_id, idx, la AS ls, list_position(list_transform(range(1, len(wa) + 1), lambda k: list_sum(wa[1:k]) >= 2), true) AS n FROM near
   UNION ALL
   SELECT doc_id, idx - n + 1, lb[len(lb) - n + 1:], n FROM (
-    SELECT *, list_position(list_transform(range(1, len(wb) + 1), lambda k: list_sum(list_reverse(wb)[1:k]) >= 10), true) AS n FROM near) WHERE n > 0
+    SELECT *, list_position(list_transform(range(1, len(wb) + 1), lambda k: list_sum(list_reverse(wb)[1:k]) >= 2), true) AS n FROM near) WHERE n > 0
 ), runs AS (
   SELECT DISTINCT doc_id, idx, n, md5(list_aggregate(ls[1:n], 'string_agg', chr(10))) AS run FROM reach WHERE n > 0
 ), placed AS (

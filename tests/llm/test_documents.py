@@ -107,7 +107,7 @@ def brute_lines(rows, min_words):
     return gone
 
 
-@pytest.mark.parametrize("min_words", [1, 4, 10])
+@pytest.mark.parametrize("min_words", [1, 2, 4, 10])
 def test_line_dedup_equals_brute_force(spark, min_words):
     rng = np.random.default_rng(5)
     pool = ["a", "b b", "c c c", "d d d d d", "", "  ", "one two three four five six seven eight nine ten eleven"]
@@ -137,6 +137,21 @@ def test_line_dedup_odd_rows(odd_docs, no_docs):
     assert line_dedup.dedup(no_docs).count() == 0
 
 
+def test_line_dedup_keeps_own_columns_of_any_name(spark):
+    rows = [(1, "a b\nc d", 5, "x", 7), (2, "a b\ne f", 6, "y", 8)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _row long, gone string, _gone long")
+    got = sorted(tuple(r) for r in line_dedup.dedup(frame).collect())
+    assert got == [(1, "a b\nc d", 5, "x", 7, 2, 0), (2, "e f", 6, "y", 8, 2, 1)]
+
+
+def test_hot_lines_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", 3)      # more than a third of all windows
+    rows = [(d, f"the same line\nown line {d}\n" + ("twice here\ntwice there" if d < 2 else "")) for d in range(30)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone = brute_lines(rows, line_dedup.MIN_WORDS)
+    assert got == {d: "\n".join(x for p, x in enumerate(t.split("\n")) if (d, p) not in gone) for d, t in rows}
+
+
 def test_line_dedup_keeps_row_ids_when_the_scan_is_cut_anew(spark, tmp_path):
     rows = [(d, f"own line of document {d} with more than ten words in it here\n" + (PASSAGE if d % 3 == 0 else f"tail {d}")) for d in range(40)]
     spark.createDataFrame(rows, "doc_id long, text string").repartition(8, "doc_id").write.parquet(path := str(tmp_path / "documents"))

@@ -133,7 +133,9 @@ def test_url_probability_equals_dense_form(spark, weights):
 def test_pipeline_stages(spark, docs, no_docs):
     import corpus_pipeline as cp
     extra = [(10_001, PASSAGE, "en", "s", 1), (10_002, PASSAGE, "en", "s", 1), (10_003, "12 34", "en", "s", 1), (10_004, None, "en", "s", 1),
-             (10_005, PASSAGE + "\nwrite to jane.roe@mail.example.com soon", "en", "s", 1)]
+             (10_005, PASSAGE + "\nwrite to jane.roe@mail.example.com soon", "en", "s", 1),
+             # A near copy that shares no line with the others: it is the next stage's to find.
+             (9_999, PASSAGE + " tail", "en", "s", 1)]
     frame = docs.select(*DOC_COLUMNS).unionByName(spark.createDataFrame(extra, docs.schema))
     scratch = Scratch(spark, "test-pipeline")
     sizes = {}
@@ -171,4 +173,20 @@ def test_near_duplicate_stage_keeps_one(spark):
     rows = [(3, PASSAGE, None, None, 1), (1, PASSAGE + " more", None, None, 1), (2, PASSAGE, None, None, 1), (2, PASSAGE, None, None, 1), (4, "", None, None, 0), (None, "", None, None, 0)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted((r["doc_id"] or 0) for r in cp.keep_one_of_each_group(spark, frame, SF).collect()) == [0, 1, 4]
+
+
+def test_near_duplicate_stage_judges_rows_by_their_own_text(spark):
+    """Rows that share an id or have none: no text goes without a copy that stays."""
+    import corpus_pipeline as cp
+    other = " ".join(reversed(PASSAGE.split()[:18])) * 2
+
+    def kept(rows):
+        frame = spark.createDataFrame([(d, t, None, None, 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+        return sorted(((r["doc_id"], r["text"]) for r in cp.keep_one_of_each_group(spark, frame, SF).collect()), key=repr)
+
+    assert kept([(1, PASSAGE), (2, PASSAGE), (2, other)]) == [(1, PASSAGE), (2, other)]
+    assert kept([(2, PASSAGE), (2, PASSAGE + " tail")]) in ([(2, PASSAGE)], [(2, PASSAGE + " tail")])
+    assert kept([(None, PASSAGE), (None, PASSAGE)]) == [(None, PASSAGE)]
+    assert kept([(None, PASSAGE), (7, PASSAGE)]) == [(7, PASSAGE)]
+    assert kept([(3, None), (3, None), (None, None), (4, "")]) == [(3, None), (4, ""), (None, None)]
     assert catalog.ORACLES.keys() == {"op3_line_dedup", "op11_exact_dedup"}
