@@ -30,21 +30,26 @@ def onehot_channels(portfolio: DataFrame, channels: Sequence[str] = fixed.CHANNE
     return portfolio.select("id", "offer_type", "reward", "difficulty", "duration", *flags)
 
 
-def channel_dummies(portfolio: DataFrame, source: str = "channels",
-                    values: Sequence[str] | None = None) -> DataFrame:
-    """Offer columns (minus ``source``) plus a 0/1 column per channel value.
+def channel_dummies(portfolio: DataFrame, values: Sequence[str], source: str = "channels") -> DataFrame:
+    """Offer columns (minus ``source``) plus a 0/1 column per channel of
+    ``values``.  Where the channels are not known beforehand: ``channel_flags``."""
+    keep = [c for c in portfolio.columns if c != source]
+    flags = [F.coalesce(F.array_contains(source, v), F.lit(False)).cast("int").alias(v) for v in sorted(values)]
+    return portfolio.select(*keep, *flags)
 
-    With ``values=None`` the categories are discovered from the data, sorted,
-    as ``str.get_dummies`` does; the discovery is one small distinct pass over
-    the catalogue (bounded by the number of channel names).
-    """
-    exploded = portfolio.select("id", F.explode_outer(source).alias("channel"))
-    pivoted = (exploded.groupBy("id").pivot("channel", sorted(values) if values is not None else None)
-               .agg(F.count(F.lit(1))))
+
+def channel_flags(portfolio: DataFrame, source: str = "channels", name: str = "flags") -> DataFrame:
+    """Offer columns (minus ``source``) plus ``name``: a map from every
+    channel that any offer has, in order, to 0 or 1.
+
+    The channels are found by an aggregate that is part of the plan, so no job
+    runs while it is built, a channel never seen before gets its flag, and the
+    schema stays what it is.  Their set is one small row (channel names)."""
+    found = portfolio.select(F.explode(source).alias("channel")).agg(F.array_sort(F.collect_set("channel"))).scalar()
     keep = [c for c in portfolio.columns if c != source]
-    dummy_cols = [c for c in pivoted.columns if c not in ("id", "null")]
-    out = portfolio.select(*keep).join(pivoted.select("id", *dummy_cols), "id", "left")
-    return out.select(*keep, *[F.coalesce(F.col(c), F.lit(0)).cast("int").alias(c) for c in dummy_cols])
+    own = F.coalesce(F.col(source), F.array().cast("array<string>"))
+    flagged = portfolio.withColumn("_found", found).withColumn("_own", own)
+    return flagged.select(*keep, F.map_from_arrays("_found", F.transform("_found", lambda c: F.array_contains("_own", c).cast("int"))).alias(name))
 
 
 def offers_table(portfolio: DataFrame, channels: Sequence[str] = ("web", "email", "mobile", "social")) -> DataFrame:
@@ -69,8 +74,9 @@ _VALUE_KEYS = ["offer id", "offer_id", "amount", "reward"]
 def flatten_events(transcript: DataFrame, keep_value: bool = False) -> DataFrame:
     """person, event, time, offer_id, amount, reward from the raw log.
 
-    ``value`` may be a struct (JSON-lines reader) or dict text (table form,
-    possibly single-quoted).  Text is parsed once per row with
+    ``value`` may be a VARIANT (JSON-lines reader), a struct or dict text (table
+    form, possibly single-quoted).  ``keep_value`` keeps it: text as it is,
+    the others as JSON text with every key they have.  Text is parsed once per row with
     ``json_tuple``: being a generator, its outputs are not substituted back
     into pushed-down filters, so a filter on ``offer_id`` never re-parses.
     The offer id is the first non-empty of the two spellings ``offer_id`` and
@@ -83,7 +89,10 @@ def flatten_events(transcript: DataFrame, keep_value: bool = False) -> DataFrame
     # alias of the same name by what else a plan holds, and two readings of the
     # log that differ in that would not share one exchange.
     base = [F.col(c) if types[c] == t else F.col(c).cast(t).alias(c) for c, t in (("person", "string"), ("event", "string"), ("time", "int"))]
-    if dtype.startswith("struct"):
+    if dtype == "variant":
+        keys = [F.try_variant_get("value", f"$['{k}']", "string").alias(f"_k{i}") for i, k in enumerate(_VALUE_KEYS)]
+        parsed = transcript.select(*base, F.to_json("value").alias("value"), *keys)
+    elif dtype.startswith("struct"):
         parsed = transcript.select(*base, F.col("value.`offer id`").alias("_k0"), F.col("value.offer_id").alias("_k1"),
                                    F.col("value.amount").alias("_k2"), F.col("value.reward").alias("_k3"),
                                    F.to_json("value").alias("value"))

@@ -6,6 +6,7 @@ Spark side: ``plans.quality`` (as-of frame + running sums).  Oracle side:
 from __future__ import annotations
 
 
+from ..sources import tables
 from . import oracle, quality
 from .context import Tables
 from .registry import analysis
@@ -122,17 +123,16 @@ def overlapping_receipts_alt(t: Tables):
 
 
 # ---------------------------------------------------------------- previews
-# ``TOP 5`` without ORDER BY is any five rows: a rows-only check, no oracle.
+# ``TOP 5`` without ORDER BY is any five rows; here the first by all columns.
 
 _PREVIEWS = {
-    "dq_preview_profile": lambda t: t.profile,
-    "dq_preview_offers": lambda t: t.offers,
-    "dq_preview_events": lambda t: t.events,
-    "dq_preview_offer_received": lambda t: t.received,
-    "dq_preview_offer_viewed": lambda t: t.viewed,
-    "dq_preview_transaction_done": lambda t: t.txns,
-    "dq_preview_offer_completed": lambda t: t.completed,
+    "dq_preview_profile": ("profile", lambda t: t.profile),
+    "dq_preview_offers": ("portfolio_cleaned", lambda t: t.offers),
+    "dq_preview_events": ("ev", lambda t: t.events),
+    "dq_preview_offer_received": ("offer_received", lambda t: t.received),
+    "dq_preview_offer_viewed": ("offer_viewed", lambda t: t.viewed),
+    "dq_preview_transaction_done": ("transaction_done", lambda t: t.txns),
+    "dq_preview_offer_completed": ("offer_completed", lambda t: t.completed),
 }
-for _name, _src in _PREVIEWS.items():
-    analysis(_name)(lambda t, _s=_src: _s(t).limit(5))
-
+for _name, (_relation, _src) in _PREVIEWS.items():
+    analysis(_name, f"SELECT * FROM {_relation} ORDER BY ALL NULLS FIRST LIMIT 5")(lambda t, _s=_src: tables.preview(_s(t)))

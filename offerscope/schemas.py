@@ -30,11 +30,11 @@ EVENT_VALUE = T.StructType([
     T.StructField("reward", T.DoubleType()),
 ])
 
-# Raw events as JSON lines (value is a nested object).
+# Raw events as JSON lines.  The value is kept as it is, whatever its keys.
 TRANSCRIPT_JSON = T.StructType([
     T.StructField("person", T.StringType()),
     T.StructField("event", T.StringType()),
-    T.StructField("value", EVENT_VALUE),
+    T.StructField("value", T.VariantType()),
     T.StructField("time", T.IntegerType()),
 ])
 

@@ -3,7 +3,7 @@ exact-size samples, column catalogue."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,17 +39,26 @@ def export_csv(df: DataFrame, path: str, header: bool = True, mode: str = "overw
     df.write.mode(mode).option("header", header).csv(path)
 
 
-def sample_exact(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """Exactly ``n`` uniformly chosen rows (``DataFrame.sample`` is only
-    approximately sized).  Planned as a top-n by a seeded random key: each
-    task keeps n rows and one final merge picks n, so nothing unbounded
+def row_text(df: DataFrame) -> Column:
+    """A row's columns as one JSON text."""
+    return F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+
+
+def sample_exact(df: DataFrame, n: int, seed: int = 0, key: Column | None = None) -> DataFrame:
+    """Exactly ``n`` rows (``DataFrame.sample`` is only approximately sized),
+    the same ones on every run and for every partitioning of ``df``: those
+    with the least md5 of the seed and the row (``key``: a text that stands
+    for the row; rows equal in it are taken in any order).  Planned as a top-n:
+    each task keeps n rows and one final merge picks n, so nothing unbounded
     reaches a single task."""
-    return df.withColumn("_r", F.rand(seed)).orderBy("_r").limit(n).drop("_r")
+    draw = F.md5(F.concat(F.lit(f"{seed}|"), key if key is not None else row_text(df)))
+    return df.withColumn("_r", draw).orderBy("_r").limit(n).drop("_r")
 
 
 def preview(df: DataFrame, n: int = 5) -> DataFrame:
-    """Any ``n`` rows (``TOP n`` without ORDER BY)."""
-    return df.limit(n)
+    """The first ``n`` rows by all columns in turn, NULL first (``TOP n``
+    without ORDER BY is any n; these are the same on every run)."""
+    return df.orderBy(*[F.col(c).asc_nulls_first() for c in df.columns]).limit(n)
 
 
 def column_catalogue(spark: SparkSession, df: DataFrame) -> DataFrame:

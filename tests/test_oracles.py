@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from offerscope.plans import ANALYSES, ORACLES
+from offerscope.plans.registry import ORDER_BY, order_values, ordered_sql
 
 # The library's own analyses; optional queries have tests beside them.
 QUERIES = {name: f for name, f in entry.queries().items() if name in ANALYSES}
@@ -34,6 +35,10 @@ def test_matches_oracle(spark, duck, name):
     assert sorted(df.columns) == sorted(rel.columns)
     assert len(got) == len(want)
     assert _canon(df.columns, got) == _canon(rel.columns, want)
+    if name in ORDER_BY:
+        in_order = duck.sql(ordered_sql(name))
+        norm = [[_norm(v) for v in r] for r in order_values(name, df.columns, got)]
+        assert norm == [[_norm(v) for v in r] for r in order_values(name, in_order.columns, in_order.fetchall())]
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
@@ -54,3 +59,7 @@ def test_entry_smoke(spark):
 def test_every_query_has_oracle_or_is_nondeterministic():
     missing = set(QUERIES) - set(ORACLES)
     assert all(n.startswith("dq_preview_") or n == "nb_sample_events" for n in missing)
+
+
+def test_every_order_is_of_an_analysis():
+    assert set(ORDER_BY) <= set(ORACLES)
