@@ -26,9 +26,10 @@ def _events_file(t: Tables, name: str) -> str:
     return path
 
 
-# The original value object, its keys in order, is the text without blanks.
+# The original value object is the text without blanks, its keys in order;
+# a whole amount is kept as the number, without a fraction of zero.
 _FLAT_WITH_VALUE = """
-SELECT person, event, json(j)::VARCHAR AS value, time,
+SELECT person, event, regexp_replace(json(j)::VARCHAR, '([0-9])\\.0}', '\\1}') AS value, time,
        COALESCE(NULLIF(json_extract_string(j, '$.offer_id'), ''), json_extract_string(j, '$."offer id"')) AS offer_id,
        CAST(json_extract(j, '$.amount') AS DOUBLE) AS amount,
        CAST(json_extract(j, '$.reward') AS DOUBLE) AS reward

@@ -225,7 +225,7 @@ def underspend_window(events: DataFrame, offers: DataFrame, frame: DataFrame | N
                      missing_spend_as_zero=True, frame=frame)
     return out.select("person", "offer_id", "received_time", "expiry_time", "difficulty", "completed_time",
                       F.col("total_spent").alias("total_spend"),
-                      (F.col("difficulty") - F.col("total_spent")).alias("shortfall"))
+                      (F.col("difficulty") - F.col("total_spent")).alias("shortfall")).orderBy(*UNDERSPEND_ORDER)
 
 
 # ---------------------------------------------------------------- receipts
@@ -262,9 +262,14 @@ def _later_receipts(windows: DataFrame, start: str, end: str) -> DataFrame:
     asking = F.when(mine <= last, F.transform(F.sequence(mine, last), lambda c: F.struct(c.alias("_cell"), F.lit(_ASKING).alias("_role")))).otherwise(none)
     roles = (windows.filter(F.col("person").isNotNull()).withColumn("_r", F.explode(F.concat(partner, asking)))
              .select("*", "_r._cell", "_r._role").drop("_r"))
-    asked = _pairs_within(roles, ["person", "offer_id", "_cell"], start)
+    # A cell holds a receipt an hour at most, over two windows' length: it is one row.
+    rest = [c for c in windows.columns if c not in ("person", "offer_id")]
+    cells = roles.groupBy("person", "offer_id", "_cell").agg(
+        F.collect_list(F.when(F.col("_role") == _PARTNERS, F.col(start))).alias("_partners"),
+        F.collect_list(F.when(F.col("_role") == _ASKING, F.struct(*rest))).alias("_asking"))
+    asked = cells.select("person", "offer_id", "_partners", F.explode("_asking").alias("_a")).select("person", "offer_id", "_partners", "_a.*")
     inside = F.filter("_partners", lambda t: (t > F.col(start)) & (t < F.col(end)))
-    return asked.withColumn("_later", F.explode(inside)).drop("_partners", "_cell", "_role")
+    return asked.withColumn("_later", F.explode(inside)).drop("_partners")
 
 
 OVERLAP_ORDER = ["person", "offer_id", "first_received"]
