@@ -68,8 +68,16 @@ def iqr_outliers(df: DataFrame, col: str, keep: Sequence[str], k: float = fixed.
     once and inlines the two numbers, so the row-level pass is a plain
     filter/project with no join and no shuffle of ``df``.
     """
-    stats = quantiles(df, col, [0.25, 0.75], ["q1", "q3"], approx=approx, wide=wide).select(F.struct("q1", "q3")).scalar()
-    out = df.select(*keep, bands.outlier_class(col, stats["q1"], stats["q3"], k).alias(label))
+    stats = quantiles(df, col, [0.25, 0.75], ["q1", "q3"], approx=approx, wide=wide)
+    if wide and not approx:
+        # A deep subquery: referred to once, as the fences that the rows are held against.
+        iqr = F.col("q3") - F.col("q1")
+        fences = stats.select(F.struct((F.col("q1") - F.lit(k) * iqr).alias("low"), (F.col("q3") + F.lit(k) * iqr).alias("high"))).scalar()
+        x = F.col(col)
+        classed = F.transform("_fences", lambda f: bands.band(x, [(x < f["low"], fixed.LOW_OUTLIER), (x > f["high"], fixed.HIGH_OUTLIER)], else_=fixed.NORMAL))
+        out = df.withColumn("_fences", F.array(fences)).select(*keep, F.get(classed, F.lit(0)).alias(label))
+    else:
+        out = df.select(*keep, bands.outlier_class(col, stats.select("q1").scalar(), stats.select("q3").scalar(), k).alias(label))
     if only_outliers:
         out = out.filter(F.col(label).isin(fixed.HIGH_OUTLIER, fixed.LOW_OUTLIER))
     return out

@@ -40,9 +40,9 @@ def _even_bin(v: Column, lo: Column, hi: Column) -> Column:
     return F.coalesce(F.floor(F.when(F.isnan(part), F.lit(0.0)).otherwise(part) * (BINS - 1)).cast("long"), F.lit(0).cast("long"))
 
 
-def _bracket_of(bins: Column, rank: Column, below: Column) -> Column:
+def _place(bins: Column, rank: Column, below: Column) -> Column:
     """Which of the sorted ``bins`` (lo, hi, n) holds the value of ``rank``,
-    ``below`` values lying before the first one."""
+    ``below`` values lying before the first one: (rank, lo, hi, below)."""
     none = F.lit(None)
     start = F.struct(below.cast("long").alias("sum"), F.lit(False).alias("done"), none.cast("double").alias("lo"), none.cast("double").alias("hi"), none.cast("long").alias("below"))
 
@@ -55,19 +55,30 @@ def _bracket_of(bins: Column, rank: Column, below: Column) -> Column:
     return F.aggregate(bins, start, step, lambda s: F.struct(rank.cast("long").alias("rank"), s["lo"].alias("lo"), s["hi"].alias("hi"), s["below"].alias("below")))
 
 
-def _bin_rows(values: DataFrame, by: list[str]) -> DataFrame:
-    """(by, bins): bins as an array sorted by value, in one row a group."""
-    sums = values.groupBy(*by, "_bin").agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.sum("_f").alias("n"))
-    bins = F.array_sort(F.collect_list(F.struct("_bin", "lo", "hi", "n"))).alias("bins")
-    return sums.groupBy(*by).agg(bins) if by else sums.agg(bins)
+def _brackets(places: str) -> Column:
+    """The places (rank, lo, hi, below) by bracket: (lo, hi, below, total, ranks).
+    A bracket takes all that a later round has to know along as a group's key,
+    so that every round refers to the one before it once."""
+    def bracket(p: Column) -> Column:
+        mine = F.filter(places, lambda q: (q["lo"] == p["lo"]) & (q["hi"] == p["hi"]))
+        return F.struct(p["lo"].alias("lo"), p["hi"].alias("hi"), p["below"].alias("below"), F.col("total"),
+                        F.array_sort(F.transform(mine, lambda q: q["rank"])).alias("ranks"))
+    return F.array_distinct(F.transform(places, bracket))
 
 
-def within(values: DataFrame, state: Column) -> DataFrame:
-    """The values inside a bracket of ``state``'s ranks, once for each bracket
+def within(values: DataFrame, brackets: DataFrame) -> DataFrame:
+    """The values inside one of ``brackets`` (one row, an array), once for each
     they lie in, with the bracket as ``_b``."""
-    brackets = F.array_distinct(F.transform("_state.ranks", lambda r: F.struct(r["lo"].alias("lo"), r["hi"].alias("hi"))))
-    inside = F.filter(brackets, lambda b: (F.col("_v") >= b["lo"]) & (F.col("_v") <= b["hi"]))
-    return values.withColumn("_state", state).select("_v", "_f", F.explode(inside).alias("_b"))
+    inside = F.filter("_all", lambda b: (F.col("_v") >= b["lo"]) & (F.col("_v") <= b["hi"]))
+    return values.withColumn("_all", brackets.scalar()).select("_v", "_f", F.explode(inside).alias("_b"))
+
+
+def _placed(bins: DataFrame) -> DataFrame:
+    """One row (total, places) of the bins (_b, lo, hi, n): where each rank of
+    each bracket lies."""
+    listed = bins.groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "n"))).alias("bins"))
+    found = listed.select("_b.total", F.transform("_b.ranks", lambda r: _place(F.col("bins"), r, F.col("_b.below"))).alias("found"))
+    return found.agg(F.max("total").alias("total"), F.flatten(F.collect_list("found")).alias("places"))
 
 
 def counted_values(df: DataFrame, col: str) -> DataFrame:
@@ -76,49 +87,37 @@ def counted_values(df: DataFrame, col: str) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("_f")))
 
 
+def _histogram(values: DataFrame, *by: str) -> DataFrame:
+    return values.groupBy(*by, "_bin").agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.sum("_f").alias("n"))
+
+
 def narrow(values: DataFrame, probs: Sequence[float]) -> DataFrame:
-    """One row (total, ranks): of every rank that ``probs`` ask for the last
-    bracket (rank, lo, hi, below) and how many values lie below it."""
-    first = _bin_rows(values.withColumn("_bin", _first_bin(F.col("_v"))), [])
-    total = F.aggregate("bins", F.lit(0).cast("long"), lambda s, b: s + b["n"])
+    """One row, an array: the last brackets of the ranks that ``probs`` ask for."""
+    first = _histogram(values.withColumn("_bin", _first_bin(F.col("_v")))).agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "n"))).alias("bins"))
+    first = first.withColumn("total", F.aggregate("bins", F.lit(0).cast("long"), lambda s, b: s + b["n"]))
     places = F.array(*[F.lit(float(p)) * (F.col("total") - 1) for p in probs])
-    wanted = F.array_sort(F.array_distinct(F.flatten(F.transform(places, lambda x: F.array(F.floor(x), F.ceil(x))))))
-    ranked = (first.withColumn("total", total)
-              .select("total", F.when(F.col("total") > 0, F.transform(wanted, lambda r: _bracket_of(F.col("bins"), r, F.lit(0)))).alias("ranks")))
+    wanted = F.array_distinct(F.flatten(F.transform(places, lambda x: F.array(F.floor(x), F.ceil(x)))))
+    none = F.array().cast("array<bigint>")
+    first = first.withColumn("wanted", F.when(F.col("total") > 0, wanted).otherwise(none))
+    placed = first.select("total", F.transform("wanted", lambda r: _place(F.col("bins"), r, F.lit(0))).alias("places"))
     for _ in range(ROUNDS):
-        state = ranked.select(F.struct("total", "ranks")).scalar()
-        split = _bin_rows(within(values, state).withColumn("_bin", _even_bin(F.col("_v"), F.col("_b.lo"), F.col("_b.hi"))), ["_b"])
-        ranked = _narrowed(split, state)
-    return ranked
+        inside = within(values, placed.select(_brackets("places")))
+        split = inside.withColumn("_bin", _even_bin(F.col("_v"), F.col("_b.lo"), F.col("_b.hi")))
+        placed = _placed(_histogram(split, "_b"))
+    return placed.select(_brackets("places"))
 
 
 def select_quantiles(df: DataFrame, col: str, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
     """One row: the continuous-interpolation percentiles (``PERCENTILE_CONT``)
     of ``col`` at ``probs``; NULLs are left out, and all NULL if no value is."""
     values = counted_values(df, col)
-    state = narrow(values, probs).select(F.struct("total", "ranks")).scalar()
-    each = F.struct(F.col("_v").alias("lo"), F.col("_v").alias("hi"), F.col("_f").alias("n"))
-    exact = within(values, state).groupBy("_b").agg(F.array_sort(F.collect_list(each)).alias("bins"))
-    by_rank = F.map_from_entries(F.transform("ranks", lambda r: F.struct(r["rank"], r["lo"])))
-    found = _narrowed(exact, state).select("total", F.when(F.col("ranks").isNotNull(), by_rank).alias("at"))
+    last = within(values, narrow(values, probs)).select("_b", F.col("_v").alias("lo"), F.col("_v").alias("hi"), F.col("_f").alias("n"))
+    found = _placed(last).withColumn("at", F.map_from_entries(F.transform("places", lambda p: F.struct(p["rank"], p["lo"]))))
     out = []
     for p, name in zip(probs, names):
         place = F.lit(float(p)) * (F.col("total") - 1)
         low, high = F.floor(place), F.ceil(place)
         a, b = F.element_at("at", low), F.element_at("at", high)
         mixed = (high.cast("double") - place) * a + (place - low.cast("double")) * b
-        out.append(F.when(F.col("total") > 0, F.when((low == high) | (a == b), a).otherwise(mixed)).alias(name))
+        out.append(F.when((low == high) | (a == b), a).otherwise(mixed).alias(name))
     return found.select(*out)
-
-
-def _narrowed(split: DataFrame, state: Column) -> DataFrame:
-    """One row (total, ranks): each rank of ``state`` with the bin of its
-    bracket that holds it.  ``split``: one row a bracket (_b, bins)."""
-    brackets = split.agg(F.map_from_entries(F.collect_list(F.struct("_b", "bins"))).alias("of"))
-
-    def close(r: Column) -> Column:
-        bins = F.element_at("of", F.struct(r["lo"].alias("lo"), r["hi"].alias("hi")))
-        return _bracket_of(bins, r["rank"], r["below"])
-
-    return brackets.withColumn("_state", state).select(F.col("_state.total").alias("total"),
-                                                       F.when(F.col("_state.total") > 0, F.transform("_state.ranks", close)).alias("ranks"))
