@@ -23,7 +23,9 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(read(spark, sf_dir, "documents").select("doc_id", "text"), pii.train(pii.labelled_regions()))
-    return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+    counts = [F.regexp_count("base", F.lit(f"{k}:")).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans",
+                        sum(F.col(f"n_{k}") for k in pii.KINDS).alias("n_spans"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

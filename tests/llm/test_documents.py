@@ -233,6 +233,19 @@ def test_pii_of_tables(odd_docs, no_docs, docs, weights):
             assert r["text"][s:e] not in r["redacted"]
 
 
+def test_pii_query_counts_base_spans(spark, tmp_path):
+    texts = ["write j.doe (at) mail (dot) com or a.b@c.de", "call (415) 555-2671 or +1 (415) 555-2671, ip 10.0.0.1", "card 4111.1111.1111.1111 or 4111 1111 1111 1111", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r["doc_id"]: r for r in catalog.op2_pii(spark, str(tmp_path)).collect()}
+    for d, t in enumerate(texts):
+        base = brute_base(t or "")
+        assert [rows[d][f"n_{k}"] for k in pii.KINDS] == [sum(s[2] == k for s in base) for k in pii.KINDS]
+        assert rows[d]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k in base).encode()).hexdigest()
+        assert rows[d]["n_spans"] == len([s for s in rows[d]["spans"].split(",") if s])
+    # The field adds spans here, which the counts of the kinds leave out.
+    assert sum(r["n_spans"] - sum(r[f"n_{k}"] for k in pii.KINDS) for r in rows.values()) >= 3
+
+
 def test_language_held_out(spark, docs, odd_docs, no_docs):
     model = language.train(language.training_rows(docs))
     said = language.identify(docs.select("doc_id", "text", "lang"), model).collect()
