@@ -4,10 +4,10 @@ word once.
 A pre-tokenizer never joins what lies on both sides of a word gap, so a text's
 ids are its words' ids in a row.  Words are looked up in a bounded cache of two
 generations (a full one becomes the old one, words met again move on) and only
-new ones go to the library: letters only, alone or before one mark, straight
-to its BPE model, others through the whole library.  A text whose gaps are unusual (see
-``_byte_words`` and ``_plain_words``) or that may hold a special token's
-string goes to the library whole.
+new ones go to the library, many in one text, whose ids are cut at the words'
+places.  A text whose gaps are unusual (see ``_byte_words`` and
+``_plain_words``) or that may hold a special token's string goes to the library
+whole.
 """
 
 from __future__ import annotations
@@ -15,12 +15,12 @@ from __future__ import annotations
 import gc
 import os
 import re
-import struct
 
 import numpy as np
 
-CACHE_WORDS = 900_000    # of one generation; both take about 350 MB a worker
-MARKS = ".,!?;:"
+CACHE_WORDS = 450_000    # of one generation
+ROW_WORDS = 4096         # new words of one text for the library
+SPLIT_CHARS = 1 << 20    # characters of texts cut into words at once
 PLAIN_LETTERS = "\u024f"    # letters up to here have one lower-case form and are composed; but for U+0130
 
 # A space that no word follows: the byte-level pattern then joins gaps.
@@ -64,26 +64,6 @@ def _plain_words(text: str) -> list[str] | None:
     return None if _ODD_BLANK.search(text) else text.split()
 
 
-class _WordIds(dict):
-    """Ids of words; a word not yet known is encoded when it is looked up."""
-
-    def __init__(self, find):
-        self.find = find
-        self.old: dict = {}
-
-    def __missing__(self, word) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            ids = self.find(word)
-        self[word] = ids
-        return ids
-
-    def turn(self) -> None:
-        """The words now held become the old generation."""
-        self.old = dict(self)
-        self.clear()
-
-
 class WordEncoder:
     """``encode(texts)`` gives each text's ids as little-endian uint32 bytes,
     equal to the library's ``encode(text, add_special_tokens=False).ids``."""
@@ -97,65 +77,78 @@ class WordEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.byte_level = self.tokenizer.normalizer is None
         self.words = _byte_keys if self.byte_level else _plain_words
-        self.cache = _WordIds(self._word)
-        self.model = self.tokenizer.model
-        from .speculative_bpe import byte_letters
-        self.letters = {b: c for c, b in byte_letters().items()}
-        self.space = self.letters[ord(" ")]
+        self.cache: dict = {}
+        self.old: dict = {}
+        if self.byte_level:
+            # Bytes of a token: as many as its letters.
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            self.n_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _parts(self, word: str) -> list[str] | None:
-        """A word's pre-tokens, if it is lines of letters, each before a mark
-        at most; the pre-tokenizer always cuts there."""
-        out = []
-        for k, line in enumerate(word.split("\n")):
-            stem = line[:-1] if line[-1:] in MARKS else line
-            core = stem[1:] if k == 0 and self.byte_level and stem[:1] == " " else stem
-            if not core.isalpha() or not self.byte_level and (max(core) > PLAIN_LETTERS or "\u0130" in core):
-                return None
-            out += (["\n"] if k else []) + [stem] + ([line[-1]] if stem != line else [])
-        return out
-
-    def _letters(self, stem: str) -> bytes:
-        """Ids of one pre-token of letters, from the library's BPE model."""
-        text = stem if self.byte_level else stem.lower()
-        if not text.isascii():
-            text = text.encode().decode("latin-1").translate(self.letters)
-        elif text[0] == " ":
-            text = self.space + text[1:]
-        ids = [t.id for t in self.model.tokenize(text)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _alone(self, word: str):
-        """Key of a word that no blank precedes."""
-        return (word,) if self.byte_level else word
-
-    def _word(self, key) -> bytes:
-        alone = type(key) is tuple
-        core = key[0] if alone else key
-        word = " " + core if self.byte_level and not alone else core
-        if core.isascii():
-            if core.isalpha():
-                return self._letters(word)
-            if core[-1:] in MARKS and core[:-1].isalpha():
-                return self.cache[(core[:-1],) if alone else core[:-1]] + self.cache[self._alone(core[-1])]
-        parts = self._parts(word)
-        if parts is None:
-            return self._library([word])[0]
-        if len(parts) == 1:
-            return self._letters(word)
-        first, *rest = parts
-        first = first[len(word) - len(core):]
-        return b"".join([self.cache[(first,) if alone else first], *[self.cache[self._alone(p)] for p in rest]])
+    def _joins(self, core: str) -> bool:
+        """Whether a word can stand among others in one text."""
+        return core.isprintable() and (self.byte_level or core.isascii() or max(core) <= PLAIN_LETTERS and "\u0130" not in core)
+
+    def _row(self, words: list[str], blank: str, first: str) -> list[bytes] | None:
+        """Ids of each of ``words``, from one text of them all: what a blank
+        parts has no token in common.  Nothing if that text holds a special
+        token's string."""
+        text = first + blank.join(words)
+        if any(s in text for s in self.special):
+            return None
+        if self.byte_level:
+            ids = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            at = np.concatenate([[0], np.cumsum(self.n_bytes[ids])])
+            # A space is its word's first byte; a line feed is a token of its own.
+            size = np.asarray([len(w) if w.isascii() else len(w.encode()) for w in words], np.int64) + 1
+            end = np.cumsum(size) - (not first)
+            begin = end - size + (not first)
+        else:
+            code = self.tokenizer.encode(text, add_special_tokens=False)
+            ids, at = np.asarray(code.ids, "<u4"), np.asarray([a for a, _ in code.offsets], np.int64)
+            size = np.asarray([len(w) for w in words], np.int64) + 1
+            end = np.cumsum(size) - 1
+            begin = end - size + 1
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip((4 * np.searchsorted(at, begin)).tolist(), (4 * np.searchsorted(at, end)).tolist())]
+
+    def _learn(self, keys: set) -> None:
+        """Puts the words that are not cached into the cache."""
+        blank, alone, odd = [], [], []
+        for key in keys:
+            ids = self.old.get(key)
+            if ids is not None:
+                self.cache[key] = ids
+            else:
+                core = key[0] if type(key) is tuple else key
+                (odd if not self._joins(core) else alone if core is not key else blank).append(key)
+        for some, feed, first in ((blank, " ", " " if self.byte_level else ""), (alone, "\n", "")):
+            for at in range(0, len(some), ROW_WORDS):
+                row = some[at:at + ROW_WORDS]
+                found = self._row([k[0] if type(k) is tuple else k for k in row], feed, first)
+                if found is None:
+                    odd += row
+                else:
+                    self.cache.update(zip(row, found))
+        texts = [k[0] if type(k) is tuple else " " + k if self.byte_level else k for k in odd]
+        self.cache.update(zip(odd, self._library(texts)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         # The library's tokens form no cycles, but their number sets off many collections.
         collecting = gc.isenabled()
         gc.disable()
         try:
-            return self._encode(texts)
+            out, some, size = [], [], 0
+            for t in texts:
+                some.append(t)
+                size += len(t)
+                if size >= SPLIT_CHARS:
+                    out += self._encode(some)
+                    some, size = [], 0
+            return out + self._encode(some)
         finally:
             if collecting:
                 gc.enable()
@@ -163,7 +156,12 @@ class WordEncoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         split = [None if any(s in t for s in self.special) else self.words(t) for t in texts]
         if len(self.cache) > CACHE_WORDS:
-            self.cache.turn()
+            self.old, self.cache = self.cache, {}
+        new = set()
+        for words in split:
+            if words is not None:
+                new.update(words)
+        self._learn(new.difference(self.cache))
         known = self.cache.__getitem__
         whole = iter(self._library([t for t, w in zip(texts, split) if w is None]))
         return [next(whole) if w is None else b"".join(map(known, w)) for w in split]

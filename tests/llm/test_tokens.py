@@ -163,3 +163,23 @@ def test_small_plans_give_the_same_documents(docs):
     rows = [r for k, i in enumerate(ids) for r in p.add(k, i)] + list(p.finish())
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     check_pieces([dict(zip(names, r)) for r in rows], {k: i.tolist() for k, i in enumerate(ids) if len(i)}, 128)
+
+
+@pytest.mark.parametrize("name", [BYTE, WORD])
+def test_new_words_reach_the_library_together(name, monkeypatch):
+    from offerscope.llm import encode
+    monkeypatch.setattr(encode, "CACHE_WORDS", 40)
+    monkeypatch.setattr(encode, "ROW_WORDS", 16)
+    monkeypatch.setattr(encode, "SPLIT_CHARS", 200)
+    rng = random.Random(3)
+    words = ["it's", "don't", "é.", "ÉTÉ", "naïve,", "a\tb", "x y", "日本", "İ", "12,5", "$$$", "é", "'s", "***!", "Straße", "A1b2"] + [f"w{k}ord" for k in range(200)]
+    texts = ["\n".join(" ".join(rng.choice(words) for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 5))) for _ in range(400)]
+    enc, calls = WordEncoder(tokenizer_path(name)), []
+    row = enc._row
+    enc._row = lambda some, *a: calls.append(len(some)) or row(some, *a)
+    for at in range(0, 400, 50):
+        got = enc.encode(texts[at:at + 50])
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == ids_of(name, texts[at:at + 50])
+        # Two generations, of which the younger takes at most one slice's words beyond its bound.
+        assert len(enc.old) + len(enc.cache) <= 2 * (40 + 200)
+    assert max(calls) == 16
