@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from offerscope.llm import catalog, fingerprint, language, line_dedup, ngram_jaccard, pii
+from offerscope.llm import catalog, common, fingerprint, language, line_dedup, ngram_jaccard, pii
 from offerscope.llm.shingles import shingle_sets
 
 from .conftest import PASSAGE, SCHEMA, SF
@@ -120,6 +120,43 @@ def test_line_dedup_equals_brute_force(spark, min_words):
         assert got[d]["n_deleted"] == sum(1 for x, _ in gone if x == d)
 
 
+def brute_copies(rows):
+    """Longest run from each worded line that begins earlier as well: its
+    document, place among the worded lines, lines and words."""
+    docs = [[x for x in t.split("\n") if WORD.search(x)] for _, t in rows]
+    starts = [(d, i) for d, lines in enumerate(docs) for i in range(len(lines))]
+    out = {}
+    for at, (d, i) in enumerate(starts):
+        most = 0
+        for e, j in starts[:at]:
+            n = 0
+            while i + n < len(docs[d]) and j + n < len(docs[e]) and docs[d][i + n] == docs[e][j + n]:
+                n += 1
+            most = max(most, n)
+        if most:
+            out[d, i] = most, sum(len(WORD.findall(x)) for x in docs[d][i:i + most])
+    return out
+
+
+@pytest.mark.parametrize("hot", [3, 1024])
+def test_repeated_runs_are_followed_to_their_end(spark, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    rng = np.random.default_rng(8)
+    pool = ["a", "b b", "c c c"]
+    texts = [[pool[k] for k in rng.integers(0, len(pool), rng.integers(1, 12))] for _ in range(30)]
+    texts += [[f"line {k}" for k in range(45)]] * 2 + [[f"line {k}" for k in range(7, 44)], ["a"] * 21]
+    rows = [(d, "\n".join(t)) for d, t in enumerate(texts)]
+    lines = spark.createDataFrame([(d, d, i, len(x.split()), hash(x), len(x)) for d, t in enumerate(texts) for i, x in enumerate(t)],
+                                  "doc_id long, _row long, idx int, words long, h1 long, h2 long")
+    scratch = common.Scratch(spark, "runs")
+    copies = line_dedup.later_copies(scratch, scratch.write(lines, "lines"))
+    want = brute_copies(rows)
+    assert {(r["_row"], r["idx"]): (r["len"], r["words"]) for r in copies.collect()} == want
+    ends = {(r["_row"], r["idx"]): r["end"] for r in line_dedup.maximal_runs(copies).collect()}
+    assert ends == {(d, i): i + n for (d, i), (n, _) in want.items() if want.get((d, i - 1), (0,))[0] != n + 1}
+    assert ends[31, 0] == 45 and ends[32, 0] == 37
+
+
 def test_line_dedup_equals_sql(spark):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
