@@ -29,14 +29,28 @@ _ODD_SPACE = re.compile(r" (?:\s|\Z)")
 _ODD_BLANK = re.compile(r"[\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
 
-# A line feed with more white space beside it: the byte-level pattern then joins them.
-_ODD_LINE = re.compile(r"\n(?:\s|\Z)|(?:\A|\s)\n")
+_ASCII_BLANKS = "\t\n\v\f\r\x1c\x1d\x1e\x1f"
 _LINE_FEED = ("\n",)
 
 
+def _odd_space(text: str) -> bool:
+    """Whether ``_ODD_SPACE`` is found, mostly told by plain searches."""
+    if "  " in text or text.endswith(" "):
+        return True
+    if text.isascii():
+        return any(c in text and " " + c in text for c in _ASCII_BLANKS)
+    return _ODD_SPACE.search(text) is not None
+
+
+def _odd_line(lines: list[str]) -> bool:
+    """Whether a line feed between ``lines`` has more white space, or an end
+    of the text, beside it: the byte-level pattern then joins them."""
+    return not all(lines) or any(x[-1].isspace() for x in lines[:-1]) or any(x[0].isspace() for x in lines[1:])
+
+
 def _byte_words(text: str) -> list[str] | None:
     """Words of a byte-level text, each with its leading space."""
-    if _ODD_SPACE.search(text):
+    if _odd_space(text):
         return None
     first, *rest = text.split(" ")
     return [first, *[" " + w for w in rest]] if first else [" " + w for w in rest]
@@ -45,10 +59,11 @@ def _byte_words(text: str) -> list[str] | None:
 def _byte_keys(text: str) -> list | None:
     """Words of a byte-level text: as strings those after a blank, without
     it; as tuples all others, line feeds and the words right after them."""
-    if _ODD_SPACE.search(text):
+    if _odd_space(text):
         return None
     out: list = []
-    for line in [text] if "\n" not in text or _ODD_LINE.search(text) else text.split("\n"):
+    lines = text.split("\n")
+    for line in [text] if _odd_line(lines) else lines:
         words: list = line.split(" ")
         words[0] = (words[0],)
         if out:

@@ -21,6 +21,7 @@ from .encode import encoder
 
 MAGIC = b"OSBITS01"
 LANES = 64              # ids that fill whole 64-bit words whatever their width: one array operation a lane
+WHOLE = {8: "<u1", 16: "<u2", 32: "<u4"}    # widths of machine numbers: their lanes are an array as it is
 BLOCK = 4096            # ids; a multiple of LANES, so that blocks end on whole words
 READ_BLOCKS = 256       # blocks unpacked at once
 TRAILER = struct.Struct("<QQQQQ8s")   # bits, ids, docs, null mask bytes, index offset, magic
@@ -33,9 +34,14 @@ def bits_for(vocab: int) -> int:
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """``ids`` in ``bits`` bits each, least significant bit first; the end is
     padded with zero bits to a whole 64-bit word."""
-    ids = np.ascontiguousarray(ids, np.uint64)
+    ids = np.ascontiguousarray(ids)
+    if ids.dtype.kind != "u":
+        ids = ids.astype(np.uint64)
     if len(ids) and int(ids.max()) >> bits:
         raise ValueError(f"id {int(ids.max())} does not fit {bits} bits")
+    if bits in WHOLE:
+        raw = ids.astype(WHOLE[bits]).tobytes()
+        return raw + bytes(-len(raw) % 8)
     groups = -(-len(ids) // LANES)
     lanes = np.zeros((groups, LANES), np.uint64)
     lanes.reshape(-1)[:len(ids)] = ids
@@ -54,6 +60,8 @@ def unpack(raw: bytes, bits: int, n: int, first: int = 0) -> np.ndarray:
     begin = first // LANES
     groups = -(-(first + n) // LANES) - begin
     raw = raw[8 * bits * begin:8 * bits * (begin + groups)]
+    if bits in WHOLE:
+        return np.frombuffer(raw + bytes(-len(raw) % 8), WHOLE[bits])[first - LANES * begin:][:n].astype(np.uint32)
     words = np.frombuffer(raw + bytes(8 * bits * groups - len(raw)), "<u8").astype(np.uint64).reshape(groups, bits)
     words, mask = np.ascontiguousarray(words.T), np.uint64((1 << bits) - 1)
     out = np.empty((LANES, groups), np.uint32)

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import re
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from offerscope.llm import packing, speculative_bpe, token_files
+from offerscope.llm import encode, packing, speculative_bpe, token_files
 from offerscope.llm.common import Scratch
 from offerscope.llm.encode import WordEncoder, tokenizer_path
 
@@ -183,3 +184,28 @@ def test_new_words_reach_the_library_together(name, monkeypatch):
         # Two generations, of which the younger takes at most one slice's words beyond its bound.
         assert len(enc.old) + len(enc.cache) <= 2 * (40 + 200)
     assert max(calls) == 16
+
+
+@pytest.mark.parametrize("bits", [8, 16, 32])
+def test_whole_widths_give_the_same_bytes(monkeypatch, bits):
+    rng = np.random.default_rng(bits)
+    for n in (0, 1, 63, 64, 65, 5000):
+        ids = rng.integers(0, 1 << bits, n).astype(np.uint32)
+        raw = token_files.pack(ids, bits)
+        parts = [token_files.unpack(raw, bits, max(0, n - k), k) for k in (0, 5, 70)]
+        with monkeypatch.context() as m:
+            m.setattr(token_files, "WHOLE", {})
+            assert token_files.pack(ids, bits) == raw
+            for k, part in zip((0, 5, 70), parts):
+                assert part.tolist() == token_files.unpack(raw, bits, max(0, n - k), k).tolist() == ids[k:].tolist()
+
+
+def test_gaps_are_told_as_by_the_patterns():
+    line, rng = re.compile(r"\n(?:\s|\Z)|(?:\A|\s)\n"), np.random.default_rng(3)
+    chars = ["a", "b", "\u00e9", " ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\ufeff"]
+    for few in (5, len(chars)):
+        for _ in range(20_000):
+            text = "".join(chars[k] for k in rng.integers(0, few, rng.integers(0, 7)))
+            assert encode._odd_space(text) == bool(encode._ODD_SPACE.search(text)), text
+            if "\n" in text:
+                assert encode._odd_line(text.split("\n")) == bool(line.search(text)), text
