@@ -192,6 +192,11 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def release() -> None:
+    """Frees the word caches of a worker process that an earlier stage used."""
+    _ENCODERS.clear()
+
+
 def tokenizer_path(name: str) -> str:
     """Place of an installed vocabulary file; it is never copied."""
     import public_tokenizers

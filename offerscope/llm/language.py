@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import encode
 from .common import python_stages
 
 BITS = 14
@@ -87,9 +88,11 @@ def _count(group: list[tuple[int, np.ndarray]], out: np.ndarray, has: np.ndarray
 
 
 def vectors(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(tf) * idf
+    # In place: a batch is some 33 MB, and both workers of an executor hold one.
+    x = np.log1p(tf)
+    x *= idf
     norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+    return np.divide(x, norm, out=x, where=norm > 0)
 
 
 def richness(tf: np.ndarray) -> np.ndarray:
@@ -142,6 +145,7 @@ def k_means(x: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
 
 def _document_frequency(batches):
     import pyarrow as pa
+    encode.release()
     total = np.zeros(DIMENSIONS, np.int64)
     for batch in batches:
         tf, _ = counts(batch.column(0).to_pylist())
@@ -164,6 +168,7 @@ def _unpacked(rows: list[bytes]) -> np.ndarray:
 
 def _count_rows(batches):
     import pyarrow as pa
+    encode.release()
     for batch in batches:
         tf, has = counts(batch.column(1).to_pylist())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_packed(t) for t in tf], pa.binary()),
@@ -232,6 +237,7 @@ def fit(found: dict[str, list[bytes]], idf: np.ndarray) -> LanguageModel:
 
 def _predicted(batches, model: LanguageModel):
     import pyarrow as pa
+    encode.release()
     for batch in batches:
         said = model.predict(batch.column(batch.schema.get_field_index("text")).to_pylist())
         yield pa.RecordBatch.from_arrays(

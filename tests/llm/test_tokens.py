@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from offerscope.llm import encode, packing, speculative_bpe, token_files
+from offerscope.llm import encode, language, packing, speculative_bpe, token_files
 from offerscope.llm.common import Scratch
 from offerscope.llm.encode import WordEncoder, tokenizer_path
 
@@ -209,3 +209,10 @@ def test_gaps_are_told_as_by_the_patterns():
             assert encode._odd_space(text) == bool(encode._ODD_SPACE.search(text)), text
             if "\n" in text:
                 assert encode._odd_line(text.split("\n")) == bool(line.search(text)), text
+
+
+def test_language_tasks_free_the_word_caches():
+    for stage in (language._document_frequency, language._count_rows, lambda batches: language._predicted(batches, None)):
+        encode.encoder(tokenizer_path("word_bpe_49k.json"))
+        list(stage([]))
+        assert not encode._ENCODERS
