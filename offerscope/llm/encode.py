@@ -5,7 +5,8 @@ A pre-tokenizer never joins what lies on both sides of a word gap, so a text's
 ids are its words' ids in a row.  Words are looked up in a bounded cache of two
 generations (a full one becomes the old one, words met again move on) and only
 new ones go to the library, many in one text, whose ids are cut at the words'
-places.  A text whose gaps are unusual (see ``_byte_words`` and
+places; those that differ by letters' case or a mark at their end only go once
+if the tokenizer folds cases.  A text whose gaps are unusual (see ``_byte_words`` and
 ``_plain_words``) or that may hold a special token's string goes to the library
 whole.
 """
@@ -22,6 +23,7 @@ CACHE_WORDS = 450_000    # of one generation
 ROW_WORDS = 4096         # new words of one text for the library
 SPLIT_CHARS = 1 << 20    # characters of texts cut into words at once
 PLAIN_LETTERS = "\u024f"    # letters up to here have one lower-case form and are composed; but for U+0130
+MARKS = ".,;:!?"         # that the white-space pattern parts from a letter or digit before them
 
 # A space that no word follows: the byte-level pattern then joins gaps.
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
@@ -94,11 +96,13 @@ class WordEncoder:
         self.words = _byte_keys if self.byte_level else _plain_words
         self.cache: dict = {}
         self.old: dict = {}
-        if self.byte_level:
-            # Bytes of a token: as many as its letters.
-            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-            self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
-            self.n_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        # Bytes of a token: as many as its letters, without the sign of a word's end.
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.n_bytes[list(vocabulary.values())] = [len(t.removesuffix(suffix)) for t in vocabulary]
+        self.folds = not self.byte_level and self.tokenizer.normalizer.normalize_str("A\u00c9") == "a\u00e9" and not any(s.isalnum() for s in self.special)
+        self.marks = dict(zip(["", *MARKS], self._library(["", *MARKS])))
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -107,39 +111,65 @@ class WordEncoder:
         """Whether a word can stand among others in one text."""
         return core.isprintable() and (self.byte_level or core.isascii() or max(core) <= PLAIN_LETTERS and "\u0130" not in core)
 
+    def _parts(self, word: str) -> tuple[str, str]:
+        """``word`` as a lower-case run of letters and digits and the mark
+        after it: they have no token in common.  Other words stay as they are."""
+        mark = word[-1] if word[-1] in MARKS else ""
+        form = word[:-1] if mark else word
+        return (form.lower(), mark) if form.isalnum() else (word, "")
+
     def _row(self, words: list[str], blank: str, first: str) -> list[bytes] | None:
         """Ids of each of ``words``, from one text of them all: what a blank
         parts has no token in common.  Nothing if that text holds a special
-        token's string."""
+        token's string, or if its tokens have other bytes than its words."""
         text = first + blank.join(words)
         if any(s in text for s in self.special):
             return None
+        ids = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        at = np.concatenate([[0], np.cumsum(self.n_bytes[ids])])
         if self.byte_level:
-            ids = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            at = np.concatenate([[0], np.cumsum(self.n_bytes[ids])])
             # A space is its word's first byte; a line feed is a token of its own.
             size = np.asarray([len(w) if w.isascii() else len(w.encode()) for w in words], np.int64) + 1
             end = np.cumsum(size) - (not first)
             begin = end - size + (not first)
         else:
-            code = self.tokenizer.encode(text, add_special_tokens=False)
-            ids, at = np.asarray(code.ids, "<u4"), np.asarray([a for a, _ in code.offsets], np.int64)
-            size = np.asarray([len(w) for w in words], np.int64) + 1
-            end = np.cumsum(size) - 1
-            begin = end - size + 1
+            # The blanks are dropped.
+            size = np.asarray([len(w) if w.isascii() else len(w.lower().encode()) for w in words], np.int64)
+            end = np.cumsum(size)
+            begin = end - size
+            if at[-1] != end[-1]:
+                return None
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip((4 * np.searchsorted(at, begin)).tolist(), (4 * np.searchsorted(at, end)).tolist())]
 
     def _learn(self, keys: set) -> None:
         """Puts the words that are not cached into the cache."""
         blank, alone, odd = [], [], []
+        parted: list[tuple[str, str, str]] = []
+        forms = set()
         for key in keys:
             ids = self.old.get(key)
             if ids is not None:
                 self.cache[key] = ids
+                continue
+            core = key[0] if type(key) is tuple else key
+            if not self._joins(core):
+                odd.append(key)
+            elif core is not key:
+                alone.append(key)
+            elif self.folds:
+                form, mark = self._parts(key)
+                forms.add(form)
+                if form != key:
+                    parted.append((key, form, mark))
+            else:
+                blank.append(key)
+        for form in forms.difference(self.cache):
+            ids = self.old.get(form)
+            if ids is not None:
+                self.cache[form] = ids
             else:
-                core = key[0] if type(key) is tuple else key
-                (odd if not self._joins(core) else alone if core is not key else blank).append(key)
+                blank.append(form)
         for some, feed, first in ((blank, " ", " " if self.byte_level else ""), (alone, "\n", "")):
             for at in range(0, len(some), ROW_WORDS):
                 row = some[at:at + ROW_WORDS]
@@ -150,6 +180,8 @@ class WordEncoder:
                     self.cache.update(zip(row, found))
         texts = [k[0] if type(k) is tuple else " " + k if self.byte_level else k for k in odd]
         self.cache.update(zip(odd, self._library(texts)))
+        for key, form, mark in parted:
+            self.cache[key] = self.cache[form] + self.marks[mark]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         # The library's tokens form no cycles, but their number sets off many collections.

@@ -186,6 +186,27 @@ def test_new_words_reach_the_library_together(name, monkeypatch):
     assert max(calls) == 16
 
 
+def test_words_that_differ_by_case_or_mark_reach_the_library_once():
+    words = ["Straße", "été", "Ⱥbc", "İx", "\u01c5a", "2²", "x'", "'s", "it's", "<|ENDOFTEXT|>", "a-b", "Σας", "...", "?", "日本", "word"]
+    texts = [f"{form}{mark}" for w in words for form in (w, w.upper(), w.lower(), w.title()) for mark in ("", *".,;:!?", "?!", "'", ".a")]
+    enc, seen = WordEncoder(tokenizer_path(WORD)), []
+    row = enc._row
+    enc._row = lambda some, *a: seen.extend(some) or row(some, *a)
+    for some in (texts, [" ".join(texts)], texts[::-1]):
+        assert [np.frombuffer(g, "<u4").tolist() for g in enc.encode(some)] == ids_of(WORD, some)
+    assert len(seen) == len(set(seen))
+    # One form of the 28 of a case and a mark.
+    assert [w for w in seen if w.lower() in {"word" + m for m in ("", *".,;:!?")}] == ["word"]
+
+
+def test_rows_of_other_bytes_go_to_the_library_word_by_word():
+    enc = WordEncoder(tokenizer_path(WORD))
+    enc.n_bytes = enc.n_bytes + 1
+    assert enc._row(["one", "two"], " ", "") is None
+    texts = ["One two, three. FOUR", "été l'été"]
+    assert [np.frombuffer(g, "<u4").tolist() for g in enc.encode(texts)] == ids_of(WORD, texts)
+
+
 @pytest.mark.parametrize("bits", [8, 16, 32])
 def test_whole_widths_give_the_same_bytes(monkeypatch, bits):
     rng = np.random.default_rng(bits)
