@@ -74,6 +74,10 @@ def _count(group: list[tuple[int, np.ndarray]], out: np.ndarray, has: np.ndarray
     # One gap between words: drop gaps that follow gaps.
     keep = letter | np.concatenate([[True], letter[:-1]]) | np.concatenate([[True], local[1:] != local[:-1]])
     flat, letter, local = np.where(letter, flat, 0)[keep].astype(np.uint64), letter[keep], local[keep]
+    # A group's rows follow each other; slices of one text share a row.
+    first, last = int(rows[0]), int(rows[-1]) + 1
+    place = (rows - first)[local] * DIMENSIONS
+    cells = []
     for n in (1, 2, 3):
         h, fine = flat[:len(flat) - n + 1].copy(), letter[:len(flat) - n + 1].copy()
         same = local[n - 1:] == local[:len(local) - n + 1]
@@ -82,9 +86,9 @@ def _count(group: list[tuple[int, np.ndarray]], out: np.ndarray, has: np.ndarray
             fine |= letter[i:len(flat) - n + 1 + i]
         h = (h + np.uint64(n)) * np.uint64(0xD6E8FEB86659FD93)
         cell = (h >> np.uint64(64 - BITS)).astype(np.int64)
-        ok = fine & same
-        table = np.bincount(local[:len(cell)][ok] * DIMENSIONS + cell[ok], minlength=len(group) * DIMENSIONS)
-        np.add.at(out, rows, table.reshape(len(group), DIMENSIONS).astype(np.float32))
+        cells.append((place[:len(cell)] + cell)[fine & same])
+    table = np.bincount(np.concatenate(cells), minlength=(last - first) * DIMENSIONS)
+    out[first:last] += table.reshape(-1, DIMENSIONS)
 
 
 def vectors(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:

@@ -1,6 +1,7 @@
 """Near duplicates, line dedup, PII, language ID and fingerprints."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -329,6 +330,30 @@ def test_slices_of_long_texts_count_all(monkeypatch):
     assert (parts >= whole).all() and parts.sum() - whole.sum() <= 10 * 6
 
 
+def test_counts_equal_brute_force_in_one_table_a_group(monkeypatch):
+    def brute(text):
+        row, mask = np.zeros(language.DIMENSIONS), (1 << 64) - 1
+        chars = re.sub(r"\0+", "\0", "".join(c if c.isalpha() else "\0" for c in text.lower()) + "\0")
+        for n in (1, 2, 3):
+            for at in range(len(chars) - n + 1):
+                part = chars[at:at + n]
+                if part.strip("\0"):
+                    h = 0
+                    for c in part:
+                        h = (h * 0x9E3779B97F4A7C15 + ord(c)) & mask
+                    row[((h + n) * 0xD6E8FEB86659FD93 & mask) >> 64 - language.BITS] += 1
+        return row
+
+    rng = random.Random(5)
+    texts = ["", "a", " ", "İ 日本", "12", *["".join(rng.choice("abéÉ .\n1日") for _ in range(rng.randrange(60))) for _ in range(150)]]
+    calls, bincount = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a, **k: calls.append(1) or bincount(*a, **k))
+    tf, has = language.counts(texts)
+    assert len(calls) == -(-len(texts) // 64)
+    assert tf.dtype == np.float32 and (tf == np.stack([brute(t) for t in texts])).all()
+    assert has.tolist() == [any(map(str.isalpha, t)) for t in texts]
+
+
 def brute_levels(raw):
     out = []
     for i in range(len(raw) - fingerprint.WINDOW + 1):
